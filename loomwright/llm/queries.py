@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import boilerplate, lookalikes, splitting
+from . import boilerplate, encoding, lookalikes, packing, splitting
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,15 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _both(spark, folder, splitting.pieces).select("item_table", "item_id", "ordinal", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encode(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.containers(encoding.token_counts(table(spark, folder, "documents", "doc_id", "text")))
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces, p7_ids, p8_containers)}
 
 _P3_LINES = """
   c AS (SELECT DISTINCT id, manual_id, text, regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', '', 'g') AS cluster FROM chunks

@@ -61,62 +61,65 @@ def latin(token: Column) -> Column:
     return F.translate(token, *LOOKALIKES)
 
 
-def repaired(texts: DataFrame) -> DataFrame:
-    """(text, form) for distinct (text): ``form`` has the look-alikes of mixed-script tokens replaced.
+def surfaced(rows: DataFrame, row_id: str, *columns: str) -> DataFrame:
+    """(id, name, text, form): a row for each text of ``columns`` that is not null, with its surface. Narrow."""
+    long = rows.select(F.col(row_id).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("text")) for c in columns])).alias("c"))
+    return composed(long.select("id", "c.name", "c.text").where("text is not null").withColumn("form", surface(F.col("text"))), "form")
+
+
+def repairs(surfaces: DataFrame) -> DataFrame:
+    """(form, mended) for the distinct (form) that hold misplaced look-alikes.
 
     A token that has Latin letters beside Greek or Cyrillic ones is mixed; one that has only these is out of place where most of
     its text's letters are of another script. Such a token is repaired if it becomes wholly Latin and the result is in the
-    corpus vocabulary: a token of some text, or the repaired form of differently written tokens. A null text gives no row.
+    corpus vocabulary: a token of some text, or the repaired form of differently written tokens. Only texts with such letters
+    and the distinct tokens of the corpus are shuffled.
     """
-    base = texts.select("text").where("text is not null").distinct()
-    base = composed(base.withColumn("form", surface(F.col("text"))), "form")
-    odd = F.col("form").rlike(_ODD_LETTER)
-    token = base.select("text", "form", odd.alias("odd"), F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(_TOKEN), F.lit(0)))).alias("token"))
-    # the vocabulary is only asked for the repaired forms: their set comes first and prunes it
+    odd = surfaces.select("form").where(F.col("form").rlike(_ODD_LETTER)).distinct()
+    tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)))).alias("token")
     letters = F.length(F.regexp_replace("form", r"\P{L}+", ""))
     odds = F.length(F.regexp_replace("form", r"[^\p{IsGreek}\p{IsCyrillic}]+", ""))
-    suspect = token.where("odd").where(F.col("token").rlike(_ODD_LETTER)).withColumn("word", latin(F.col("token")))
-    suspect = suspect.where(~F.col("word").rlike(_ODD_LETTER)).where(F.col("token").rlike(r"\p{IsLatin}") | (odds * 2 < letters))
+    suspect = odd.select("form", (odds * 2 < letters).alias("foreign"), tokens("form")).where(F.col("token").rlike(_ODD_LETTER))
+    suspect = suspect.where(F.col("foreign") | F.col("token").rlike(r"\p{IsLatin}")).withColumn("word", latin(F.col("token"))).where(~F.col("word").rlike(_ODD_LETTER))
     pairs = suspect.select("token", "word").distinct()
     wanted = pairs.groupBy("word").agg(F.count("*").alias("spellings"))
-    known = token.where(~F.col("token").rlike(_ODD_LETTER)).select(F.col("token").alias("word")).join(wanted, "word", "left_semi").distinct().select("word", F.lit(True).alias("known"))
+    known = surfaces.select(tokens("form")).where(~F.col("token").rlike(_ODD_LETTER)).groupBy(F.col("token").alias("word")).agg(F.lit(True).alias("known"))
     accepted = pairs.join(wanted, "word").join(known, "word", "left").where("known or spellings > 1").select("token", "word")
-    fixes = suspect.select("text", "token").join(accepted, "token").groupBy("text").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))
+    fixes = suspect.select("form", "token").join(accepted, "token").groupBy("form").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))
     # longest first, so that no token is replaced inside a longer one
     fixes = fixes.withColumn("fixes", F.array_sort("fixes", lambda a, b: F.length(b["token"]) - F.length(a["token"])))
-    mended = F.aggregate("fixes", F.col("form"), lambda t, x: F.replace(t, x["token"], x["word"]))
-    return base.join(fixes, "text", "left").select("text", F.when(F.col("fixes").isNull(), F.col("form")).otherwise(mended).alias("form"))
+    return fixes.select("form", F.aggregate("fixes", F.col("form"), lambda t, x: F.replace(t, x["token"], x["word"])).alias("mended"))
 
 
 def unified(rows: DataFrame, row_id: str, *columns: str) -> DataFrame:
     """(id, name, text, form): the texts of ``columns``, one row each, with their consistent form.
 
-    Null texts give no row, blank ones an empty form; letter case, digits and anything else a reader can see stay.
+    Null texts give no row, blank ones an empty form; repeated rows stay; letter case, digits and anything else a reader can
+    see stay. Texts without Greek or Cyrillic letters get their form without a shuffle.
     """
-    long = rows.select(F.col(row_id).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("text")) for c in columns])).alias("c"))
-    long = long.select("id", "c.name", "c.text").where("text is not null").distinct()
-    return long.join(repaired(long), "text").select("id", "name", "text", "form")
+    surfaces = surfaced(rows, row_id, *columns)
+    odd = F.col("form").rlike(_ODD_LETTER)
+    mended = surfaces.where(odd).join(repairs(surfaces), "form", "left").select("id", "name", "text", F.coalesce("mended", "form").alias("form"))
+    return surfaces.where(~odd).unionByName(mended)
 
 
 def look_same(rows: DataFrame, row_id: str = "id", text: str = "question", other: str | None = "search_question") -> DataFrame:
     """(query_id, other_id): two rows whose ``text`` looks the same in different characters, the smaller id first, and one row
     with itself if its ``text`` and ``other`` do. Blank and null texts look like nothing and pair with none.
 
-    Classes of one form are joined by the form's hash and only where a class has more than one spelling; equal spellings are
-    never paired, so copies of one text cost nothing.
+    Classes of one form are joined by 128 bits of the form and only where a class has more than one spelling; equal spellings
+    are never paired, so copies of one text cost nothing.
     """
-    form = unified(rows, row_id, *([text, other] if other else [text])).where("form <> ''")
-    own = form.where(F.col("name") == text).select("id", F.sha2("form", 256).alias("look"), F.sha2("text", 256).alias("chars")).distinct()
-    several = own.groupBy("look", "chars").agg(F.lit(1).alias("one")).groupBy("look").agg(F.count("*").alias("spellings")).where("spellings > 1").select("look")
-    own = own.join(several, "look", "left_semi")
+    bits = lambda c: F.unhex(F.md5(c))
+    form = unified(rows, row_id, *([text, other] if other else [text])).where("form <> ''").select("id", "name", bits("form").alias("look"), bits("text").alias("chars"))
+    own = form.where(F.col("name") == text).select("id", "look", "chars")
+    several = own.groupBy("look").agg(F.min("chars").alias("a"), F.max("chars").alias("b")).where("a <> b").select("look")
+    own = own.join(several, "look", "left_semi").distinct()
     a, b = own.select("look", F.col("id").alias("query_id"), F.col("chars").alias("a")), own.select("look", F.col("id").alias("other_id"), F.col("chars").alias("b"))
     pairs = a.join(b, "look").where("a <> b and query_id < other_id").select("query_id", "other_id")
     if not other:
         return pairs.distinct()
-    both = rows.select(F.col(row_id).alias("query_id"), F.col(text).alias("x"), F.col(other).alias("y")).where("x <> y").distinct()
-    forms = form.select("text", "form").distinct()
-    # only rows whose two texts could be the same are looked up: the letters that no disguise changes must agree
-    core = lambda c: F.regexp_replace(surface(F.col(c)), r"[^0-9 ]+", "")
-    both = both.where(core("x") == core("y"))
-    same = both.join(forms.select(F.col("text").alias("x"), F.col("form").alias("fx")), "x").join(forms.select(F.col("text").alias("y"), F.col("form").alias("fy")), "y")
-    return pairs.union(same.where("fx = fy").select("query_id", F.col("query_id").alias("other_id"))).distinct()
+    # copies of a row have the same texts; rows of one id with other texts are compared with all of them
+    both = form.groupBy("id", "look").agg(F.collect_set(F.when(F.col("name") == text, F.col("chars"))).alias("x"), F.collect_set(F.when(F.col("name") == other, F.col("chars"))).alias("y"))
+    both = both.where(F.exists("x", lambda v: F.exists("y", lambda w: v != w)))
+    return pairs.union(both.select(F.col("id").alias("query_id"), F.col("id").alias("other_id"))).distinct()

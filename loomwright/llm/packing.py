@@ -57,6 +57,7 @@ def best_fit(tokens: np.ndarray, capacity: int, most_documents: int, most_attent
                 out[order[i]] = used
                 used += 1
                 i += 1
+        start = stop
     return out
 
 

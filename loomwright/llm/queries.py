@@ -24,7 +24,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalikes.unified(table(spark, folder, "queries", "id", "question", "search_question"), "id", "question", "search_question").select("id", "name", "form")
+    return lookalikes.unified(table(spark, folder, "queries", "id", "question", "search_question"), "id", "question", "search_question").select("id", "name", "form").distinct()
 
 
 def _both(spark: SparkSession, folder: str, f) -> DataFrame:

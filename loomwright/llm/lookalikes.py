@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 #: Characters of other scripts that look like the Latin letter below them. Fixed values.
 LOOKALIKES = (
     "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιρυνκ",
@@ -61,10 +63,16 @@ def latin(token: Column) -> Column:
     return F.translate(token, *LOOKALIKES)
 
 
+def bits(column: str) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(column))
+
+
 def surfaced(rows: DataFrame, row_id: str, *columns: str) -> DataFrame:
-    """(id, name, text, form): a row for each text of ``columns`` that is not null, with its surface. Narrow."""
+    """(id, name, chars, form): a row for each text of ``columns`` that is not null, with 128 bits of it and its surface. Narrow."""
     long = rows.select(F.col(row_id).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("text")) for c in columns])).alias("c"))
-    return composed(long.select("id", "c.name", "c.text").where("text is not null").withColumn("form", surface(F.col("text"))), "form")
+    long = long.select("id", "c.name", "c.text").where("text is not null")
+    return composed(long.select("id", "name", bits("text").alias("chars"), surface(F.col("text")).alias("form")), "form")
 
 
 def repairs(surfaces: DataFrame) -> DataFrame:
@@ -92,14 +100,14 @@ def repairs(surfaces: DataFrame) -> DataFrame:
 
 
 def unified(rows: DataFrame, row_id: str, *columns: str) -> DataFrame:
-    """(id, name, text, form): the texts of ``columns``, one row each, with their consistent form.
+    """(id, name, chars, form): the texts of ``columns``, one row each, with 128 bits of them and their consistent form.
 
     Null texts give no row, blank ones an empty form; repeated rows stay; letter case, digits and anything else a reader can
-    see stay. Texts without Greek or Cyrillic letters get their form without a shuffle.
+    see stay. Surfaces are written once; texts without Greek or Cyrillic letters are not shuffled.
     """
-    surfaces = surfaced(rows, row_id, *columns)
+    surfaces = materialise(surfaced(rows, row_id, *columns), "surfaces")
     odd = F.col("form").rlike(_ODD_LETTER)
-    mended = surfaces.where(odd).join(repairs(surfaces), "form", "left").select("id", "name", "text", F.coalesce("mended", "form").alias("form"))
+    mended = surfaces.where(odd).join(repairs(surfaces), "form", "left").select("id", "name", "chars", F.coalesce("mended", "form").alias("form"))
     return surfaces.where(~odd).unionByName(mended)
 
 
@@ -110,8 +118,8 @@ def look_same(rows: DataFrame, row_id: str = "id", text: str = "question", other
     Classes of one form are joined by 128 bits of the form and only where a class has more than one spelling; equal spellings
     are never paired, so copies of one text cost nothing.
     """
-    bits = lambda c: F.unhex(F.md5(c))
-    form = unified(rows, row_id, *([text, other] if other else [text])).where("form <> ''").select("id", "name", bits("form").alias("look"), bits("text").alias("chars"))
+    form = unified(rows, row_id, *([text, other] if other else [text])).where("form <> ''")
+    form = materialise(form.select("id", "name", "chars", bits("form").alias("look")), "looks")
     own = form.where(F.col("name") == text).select("id", "look", "chars")
     several = own.groupBy("look").agg(F.min("chars").alias("a"), F.max("chars").alias("b")).where("a <> b").select("look")
     own = own.join(several, "look", "left_semi").distinct()

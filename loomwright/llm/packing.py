@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 #: Containers that one group of items fills at most; a group is packed by one task, so this bounds its memory and work.
-GROUP_CONTAINERS = 2048
+GROUP_CONTAINERS = 512
 #: A container of the first round with more than this share of unused tokens is opened again in the second.
 REOPEN_SHARE = 0.004
 #: Weights of the three residuals: tokens, number of documents, attention cost.
@@ -61,7 +61,7 @@ def best_fit(tokens: np.ndarray, capacity: int, most_documents: int, most_attent
     return out
 
 
-def _pack(items: DataFrame, groups, capacity: int, most_documents: int, most_attention: int, first: int) -> DataFrame:
+def _pack(items: DataFrame, groups, capacity: int, most_documents: int, most_attention: int, first: int, count: int) -> DataFrame:
     """(…, container): ``items`` packed within each group; a container's name holds the round, the group and its place."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +71,9 @@ def _pack(items: DataFrame, groups, capacity: int, most_documents: int, most_att
         return pdf.drop(columns="bucket").assign(container=[names[p] for p in place])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields) + ", container string"
-    return items.withColumn("bucket", groups).groupBy("bucket").applyInPandas(run, schema)
+    # an explicit number of partitions, as adaptive execution would put these small rows of much work into one task
+    tasks = max(1, min(count, 4 * items.sparkSession.sparkContext.defaultParallelism))
+    return items.withColumn("bucket", groups).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(run, schema)
 
 
 def containers(counts: DataFrame, capacity: int = 2048, most_documents: int | None = None, most_attention: int | None = None, group_containers: int = GROUP_CONTAINERS) -> DataFrame:
@@ -95,13 +97,13 @@ def containers(counts: DataFrame, capacity: int = 2048, most_documents: int | No
     total, n = items.where(~whole).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     groups = max(1, -(-total // (group_containers * capacity)), -(-n // (group_containers * 256)))
     spread = lambda salt, k: F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(salt)), F.lit(k))
-    once = materialise(_pack(items.where(~whole), spread(1, groups), capacity, most_documents, most_attention, 0), "packing-round")
+    once = materialise(_pack(items.where(~whole), spread(1, groups), capacity, most_documents, most_attention, 0, groups), "packing-round")
     result = once
     if groups > 1:
         fill = once.groupBy("container").agg(F.sum("tokens").alias("fill"))
         open_ = fill.where(F.col("fill") < capacity * (1 - REOPEN_SHARE)).select("container")
         again = once.join(open_, "container", "left_semi").drop("container")
         left = max(1, -(-groups // 64))
-        result = once.join(open_, "container", "left_anti").select(*once.columns).unionByName(_pack(again, spread(2, left), capacity, most_documents, most_attention, 1))
+        result = once.join(open_, "container", "left_anti").select(*once.columns).unionByName(_pack(again, spread(2, left), capacity, most_documents, most_attention, 1, left))
     alone = items.where(whole).withColumn("container", F.concat(F.lit("full-"), F.monotonically_increasing_id().cast("string")))
     return result.unionByName(alone)

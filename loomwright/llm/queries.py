@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
-from . import boilerplate, encoding, lookalikes, packing, splitting
+from ..session import materialise
+from ..tables import latest, table
+from . import boilerplate, encoding, language, lookalikes, packing, splitting
+
+
+def labelled_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_table, item_id, label, text): every item of lang_labels with its latest label, and every document; written once."""
+    labels = latest(table(spark, folder, "lang_labels"), ["item_table", "item_id"], "set_at").withColumnRenamed("lang", "label")
+    of = lambda name, text: labels.where(F.col("item_table") == name).join(table(spark, folder, name, F.col("id").alias("item_id"), F.col(text).alias("text")), "item_id")
+    documents = table(spark, folder, "documents", F.lit("documents").alias("item_table"), F.col("doc_id").cast("string").alias("item_id"), F.col("lang").alias("label"), "text")
+    columns = ["item_table", "item_id", "label", "text"]
+    return materialise(of("queries", "question").select(*columns).unionByName(of("chunks", "text").select(*columns)).unionByName(documents), "labelled-items")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(labelled_items(spark, folder)).select("item_table", "item_id", "seg_no", "lang")
+
+
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    items = labelled_items(spark, folder)
+    return language.segments(items, language.fit(language.labelled_sample(items)), ["item_table", "item_id"]).drop("segs").distinct()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +67,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(encoding.token_counts(table(spark, folder, "documents", "doc_id", "text")))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces, p7_ids, p8_containers)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces, p7_ids, p8_containers)}
 
 _P3_LINES = """
   c AS (SELECT DISTINCT id, manual_id, text, regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', '', 'g') AS cluster FROM chunks

@@ -58,7 +58,7 @@ def units(text: str) -> list[str]:
 
 def is_sentence(unit: str) -> bool:
     """A full stop and three words, or five words without one; table lines, dumps and lines of symbols are none."""
-    words = [w for w in _WORD.findall(unit) if len(w) > 1 and not (w.isascii() and w.isupper())]
+    words = [w for w in _WORD.findall(unit) if len(w) > (2 if w.isascii() and w.isupper() else 1)]
     if sum(map(len, words)) * 2 < len(unit):
         return False
     return len(words) >= 3 and _STOP.search(unit) is not None and unit.count("|") < 2 or len(words) >= 5 and not _TABLE.search(unit)

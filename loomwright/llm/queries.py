@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..tables import latest, table
-from . import boilerplate, encoding, language, lookalikes, packing, splitting
+from . import boilerplate, encoding, language, lookalikes, packing, reading, splitting
 
 
 def labelled_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +67,16 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(encoding.token_counts(table(spark, folder, "documents", "doc_id", "text")))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    levels = reading.reading_levels(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "level_samples"))
+    return levels.select("doc_id", "reading_level").distinct()
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "level_samples"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
 
 _P3_LINES = """
   c AS (SELECT DISTINCT id, manual_id, text, regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', '', 'g') AS cluster FROM chunks

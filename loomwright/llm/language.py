@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookalikes import LOOKALIKES
@@ -28,6 +28,8 @@ SPELLINGS = {
 
 #: Labelled rows of each (language, script) that the model is fitted on, and the characters kept of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 60_000
+#: Characters of a sampled row that the fit looks at.
+SAMPLE_TEXT = 2_000
 
 SPACE, DIGIT, OTHER, DROPPED = 0, 1, 2, -1
 
@@ -268,17 +270,27 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool],
     return letters, texts(None)
 
 
-def labelled_sample(items: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS rows (language, text) of each language and script, chosen by hash; ``items`` has (label, text).
+def labelled_sample(items: DataFrame) -> DataFrame:
+    """(lang, text): at most SAMPLE_ROWS rows of each language and script, chosen by hash; ``items`` has (label, text).
 
     Spark keeps the first rows of each group within every partition before it shuffles, so no group is gathered whole.
     """
-    from pyspark.sql import Window
+    rows = items.select(label_code(F.col("label")).alias("lang"), F.substring("text", 1, SAMPLE_TEXT).alias("text")).where("lang is not null and length(text) > 20")
+    rows = rows.withColumn("native", F.col("text").rlike(r"[ঀ-৿ऀ-ॿ]")).withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang", "native").orderBy("h"))
+    return rows.withColumn("n", place).where(F.col("n") <= SAMPLE_ROWS).select("lang", "text").distinct()
 
-    rows = items.select(label_code(F.col("label")).alias("lang"), F.substring("text", 1, 4000).alias("text")).where("lang is not null and length(text) > 20").distinct()
-    rows = rows.withColumn("native", F.col("text").rlike(r"[ঀ-৿ऀ-ॿ]"))
-    place = F.row_number().over(Window.partitionBy("lang", "native").orderBy(F.xxhash64("text"), "text"))
-    return [(r.lang, r.text) for r in rows.withColumn("n", place).where(F.col("n") <= SAMPLE_ROWS).select("lang", "text").collect()]
+
+def fitted(items: DataFrame) -> tuple[list[str], dict[tuple[str, bool], str]]:
+    """fit() of the labelled sample, whose size is bounded, in one task; the driver gets the letters and the classes' texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for pdf in frames for r in zip(pdf["lang"], pdf["text"])]
+        letters, texts = fit(rows) if rows else ([], {})
+        yield pd.DataFrame([("", False, "".join(letters)), *[(lang, native, text) for (lang, native), text in texts.items()]], columns=["lang", "native", "text"])
+
+    rows = labelled_sample(items).coalesce(1).mapInPandas(run, "lang string, native boolean, text string").collect()
+    return [c for r in rows if not r.lang for c in r.text], {(r.lang, r.native): r.text for r in rows if r.lang}
 
 
 _parsers: dict[int, CrossParser] = {}
@@ -357,7 +369,7 @@ def mislabelled(items: DataFrame) -> DataFrame:
     ``items`` has (item_table, item_id, label, text), one row for each item. The model is fitted on these items' own labels. A
     label in another usual spelling is right. An empty table, or one without a usable label, gives an empty result.
     """
-    model = fit(labelled_sample(items))
+    model = fitted(items)
     if not model[1]:
         return items.select("item_table", "item_id", F.lit(1).alias("seg_no"), F.lit("").alias("lang"), F.lit(0.0).alias("confidence")).where(F.lit(False))
     items = items.withColumn("code", F.coalesce(label_code(F.col("label")), F.lit("")))

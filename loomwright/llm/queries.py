@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..tables import latest, table
-from . import boilerplate, encoding, language, lookalikes, packing, reading, splitting
+from . import boilerplate, encoding, language, lookalikes, ocr, packing, reading, splitting
 
 
 def labelled_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     items = labelled_items(spark, folder)
-    return language.segments(items, language.fit(language.labelled_sample(items)), ["item_table", "item_id"]).drop("segs").distinct()
+    return language.segments(items, language.fitted(items), ["item_table", "item_id"]).drop("segs").distinct()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +46,14 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.unified(table(spark, folder, "queries", "id", "question", "search_question"), "id", "question", "search_question").select("id", "name", "form").distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.noise(table(spark, folder, "chunks", "id", "text", "extraction")).select("chunk_id", "line_no", "noise", "word").distinct()
+
+
+def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.repaired(table(spark, folder, "chunks", "id", "text", "extraction"))
+
+
 def _both(spark: SparkSession, folder: str, f) -> DataFrame:
     chunks, drafts = table(spark, folder, "chunks", "id", "text"), table(spark, folder, "unit_drafts", "draft_id", "text")
     return f(chunks, "id", "text").withColumn("item_table", F.lit("chunks")).unionByName(f(drafts, "draft_id", "text").withColumn("item_table", F.lit("unit_drafts")))
@@ -76,7 +84,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "level_samples"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p3_found, p3_cleaned, p4_found, p4_unified, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p3_found, p3_cleaned, p4_found, p4_unified, p5_found, p5_repaired, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
 
 _P3_LINES = """
   c AS (SELECT DISTINCT id, manual_id, text, regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', '', 'g') AS cluster FROM chunks

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from ..tables import latest, table
-from . import boilerplate, encoding, language, lookalikes, ocr, packing, reading, splitting
+from . import boilerplate, encoding, language, lookalikes, ocr, packing, pairs, reading, splitting
 
 
 def labelled_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +28,21 @@ def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.segments(items, language.fitted(items), ["item_table", "item_id"]).drop("segs").distinct()
 
 
+def _language_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, text): documents and questions with their label, of which the pairs' language classifier is fitted on a sample."""
+    documents = table(spark, folder, "documents", F.col("lang").alias("label"), F.substring("text", 1, 1000).alias("text"))
+    labels = table(spark, folder, "lang_labels", F.col("item_id").alias("id"), F.col("lang").alias("label"), "item_table").where("item_table = 'queries'").drop("item_table")
+    return documents.unionByName(labels.join(table(spark, folder, "queries", "id", F.col("question").alias("text")), "id").select("label", "text"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_margins(spark, folder).select("query_id", "defect").distinct()
+
+
+def p2_margins(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(table(spark, folder, "queries", "id", "question", "answer", "status"), _language_labels(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks", "id", "manual_id", "text", "extraction").where("extraction = 'text'")
     return boilerplate.repeated_lines(chunks).withColumnRenamed("doc_id", "chunk_id")
@@ -84,7 +99,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "level_samples"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p3_found, p3_cleaned, p4_found, p4_unified, p5_found, p5_repaired, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p2_found, p2_margins, p3_found, p3_cleaned, p4_found, p4_unified, p5_found, p5_repaired, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels)}
 
 _P3_LINES = """
   c AS (SELECT DISTINCT id, manual_id, text, regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', '', 'g') AS cluster FROM chunks

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import records, search, units
+
+QUERIES = search.QUERIES | units.QUERIES | records.QUERIES
+ORACLE = search.ORACLE | units.ORACLE | records.ORACLE

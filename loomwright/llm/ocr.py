@@ -21,7 +21,7 @@ FREQUENT = 5_000
 #: A word of clean text that is this much rarer than a candidate may itself be misread.
 RARER = 200
 #: Misreadings kept: those with this share of all, at most so many.
-LEAST_SHARE, MOST_CONFUSIONS = 0.002, 150
+LEAST_SHARE, MOST_CONFUSIONS = 0.0002, 150
 #: Misreadings within one word, and candidates of one word.
 MOST_EDITS, MOST_CANDIDATES = 2, 12
 #: Weight of the unigram beside the bigram, in counts.
@@ -45,7 +45,7 @@ def kind_of(line: str) -> str | None:
         return None
     if _PAGE.fullmatch(s):
         return "page_number" if re.search(r"[0-9]|^\W*[ivxlcdmVXI]+\W*$|[Oo][lI]|[lI]{2}|[lI][Oo]", s) else None
-    words = re.findall(r"[^\W\d_][^\W_]*", s)
+    words = [w for w in re.findall(r"[^\W_]+", s) if not w.isdigit()]
     small = sum(w[0].islower() for w in words)
     long = [w for w in words if len(w) >= 4]
     if long and small <= 1 and small < len(words) and not re.search(r"[.!?,;:।]$", s) and not re.search(r"\bN[o0]\.", s):
@@ -109,7 +109,7 @@ def _holes(words: DataFrame, word: str, prefix: str) -> DataFrame:
     """(key, part, n): each word with each stretch of one or two characters left out; key is what stays around it."""
     places = F.expr(f"flatten(transform(array(1, 2), k -> transform(sequence(1, greatest(length({word}) - k + 1, 1)), i -> struct(i AS i, k AS k))))")
     out = words.select(word, "n", F.explode(places).alias("h"))
-    return out.select(F.expr(f"concat(substring({word}, 1, h.i - 1), '*', substring({word}, h.i + h.k))").alias("key"), F.expr(f"substring({word}, h.i, h.k)").alias(prefix), F.col("n").alias(f"n_{prefix}"))
+    return out.select(F.col(word).alias(f"w_{prefix}"), F.expr(f"concat(substring({word}, 1, h.i - 1), '*', substring({word}, h.i + h.k))").alias("key"), F.expr(f"substring({word}, h.i, h.k)").alias(prefix), F.col("n").alias(f"n_{prefix}"))
 
 
 def confusions(unknown: DataFrame, words: DataFrame) -> list[tuple[str, str, float]]:
@@ -117,10 +117,14 @@ def confusions(unknown: DataFrame, words: DataFrame) -> list[tuple[str, str, flo
 
     ``unknown`` and ``words`` have (word, n). At most MOST_CONFUSIONS, so a bounded table goes to the driver.
     """
-    a = _holes(unknown.where("length(word) between 4 and 24 and word rlike '^[a-z0-9]+$' and word rlike '[a-z]{2}'"), "word", "seen")
-    b = _holes(words.where("length(word) between 4 and 24 and n >= 3 and word rlike '^[a-z]+$'"), "word", "meant")
+    a = _holes(unknown.where("length(word) between 3 and 24 and word rlike '^[a-z0-9]+$' and word rlike '[a-z]{2}'"), "word", "seen")
+    b = _holes(words.where("length(word) between 3 and 24 and n >= 3 and word rlike '^[a-z]+$'"), "word", "meant")
     pairs = a.join(b, "key").where("left(seen, 1) <> left(meant, 1) and right(seen, 1) <> right(meant, 1)")
-    found = pairs.groupBy("seen", "meant").agg(F.sum("n_seen").alias("n"), F.count("*").alias("kinds")).where("kinds >= 2")
+    pairs = pairs.select("w_seen", "seen", "meant", "n_seen").distinct()
+    often = pairs.groupBy("seen", "meant").agg(F.sum("n_seen").alias("all"))
+    # a word that differs from several in several ways counts for the way that is most common over all words
+    best = pairs.join(often, ["seen", "meant"]).groupBy("w_seen").agg(F.max_by(F.struct("seen", "meant", "n_seen"), F.struct("all", "seen", "meant")).alias("b"))
+    found = best.groupBy("b.seen", "b.meant").agg(F.sum("b.n_seen").alias("n"), F.count("*").alias("kinds")).where("kinds >= 2")
     top = found.orderBy(F.desc("n"), "seen", "meant").limit(MOST_CONFUSIONS).collect()
     total = sum(r.n for r in top) or 1
     return [(r.seen, r.meant, math.log(r.n / total)) for r in top if r.n >= LEAST_SHARE * total]

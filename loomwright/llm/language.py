@@ -192,11 +192,13 @@ class CrossParser:
                 to = table[state[:n] + c]
                 failed = np.flatnonzero(to == 0)
                 if len(failed):
-                    count[failed] += 1
                     again = table[width + c[failed]]
-                    again[again == 0] = width
+                    alone = again == 0  # a letter that the class has nowhere is a phrase of its own
+                    count[failed] += (state[failed] != width).astype(np.int32) + alone
+                    again[alone] = width
                     to[failed] = again
                 state[:n] = to
+            count -= (state == width) & (length > 0)
             out[order, k] = count * bits / np.maximum(1, length)
         return out
 

@@ -26,8 +26,8 @@ SPELLINGS = {
     "pt": ("pt", "por", "portuguese", "português", "portugues"),
 }
 
-#: Labelled rows of each (language, script) that the model is fitted on, and the characters kept of them.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 60_000
+#: Labelled rows of Indic and of other text that the model is fitted on, and the characters kept of each class.
+SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 60_000
 #: Characters of a sampled row that the fit looks at.
 SAMPLE_TEXT = 2_000
 
@@ -69,6 +69,7 @@ def is_sentence(unit: str) -> bool:
 # --- symbols ---------------------------------------------------------------------------------------------------------
 
 _to_latin = dict(zip(*LOOKALIKES))
+_INDIC = re.compile(r"[ঀ-৿ऀ-ॿ]")
 
 
 def _letter(cp: int) -> str:
@@ -96,6 +97,7 @@ class Symbols:
         for cp in range(0xFF00, 0xFFF0):  # wide forms
             self.table[cp - 0xFF00 + 0x3000] = number.get(_letter(cp), OTHER)
         self.table[0x3000] = SPACE
+        self.indic = np.array([0, 0, 0, *[int(_INDIC.match(c) is not None) for c in letters]])
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of all texts in a row, start of each and the end): runs of spaces become one, each text begins with one."""
@@ -171,7 +173,10 @@ class CrossParser:
             self.tables.append((table, column, width, np.log2(max(2, len(sym)))))
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """(texts, classes): the phrases that each text needs, in bits by the size of the class's text, for each of its symbols.
+        """(texts, classes): the phrases that each text needs for each of its symbols.
+
+        A phrase of Latin text costs the bits of its place in the class's text, as classes differ in size. Indic script by itself
+        leaves few languages, of which those that come by wrong labels are small and would gain by it; there a phrase costs 1.
 
         All texts are parsed side by side, the longest first, so that a step is a few array operations on those still running.
         """
@@ -182,6 +187,9 @@ class CrossParser:
         steps = int(length[0]) if len(length) else 0
         running = np.searchsorted(-length, -np.arange(steps), side="left")  # texts longer than the step
         out = np.empty((len(texts), len(self.classes)))
+        indic = self.symbols.indic[sym]
+        share = np.add.reduceat(indic, bounds[:-1]) / np.maximum(1, size) if len(texts) else np.zeros(0)
+        native = share[order] > 0.25
         for k, (table, column, width, bits) in enumerate(self.tables):
             codes = column[sym]
             state = np.full(len(begin), width, dtype=np.int64)
@@ -199,7 +207,7 @@ class CrossParser:
                     to[failed] = again
                 state[:n] = to
             count -= (state == width) & (length > 0)
-            out[order, k] = count * bits / np.maximum(1, length)
+            out[order, k] = count * np.where(native, 1.0, bits) / np.maximum(1, length)
         return out
 
 
@@ -214,6 +222,8 @@ def _letters(sentences: Iterator[str]) -> list[str]:
 
 #: An item stays among the labelled texts if its label is the best language of its whole text and of this share of its sentences.
 PURE = 0.8
+#: Share of a class's items that must stay, or else the class is one of wrong labels.
+LEAST_STANDING = 0.05
 
 
 def _native(text: str) -> bool:
@@ -222,15 +232,12 @@ def _native(text: str) -> bool:
     return indic * 2 > len(text.replace(" ", "")) // 2
 
 
-_INDIC = re.compile(r"[ঀ-৿ऀ-ॿ]")
-
-
 def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool], str]]:
     """(letters, text of each class) from labelled texts, some of whose labels are wrong; a class is a language in one script.
 
     Twice, each half of the items is parsed by the automata of the other half's items that still stand; an item stays if its
     own language needs the fewest phrases for it, so that neither wrongly labelled nor mixed items give the automata their text.
-    A class of which nothing stays is dropped, unless its language would be left without any.
+    A class of which less than LEAST_STANDING stays is dropped, unless its language would be left without any.
     """
     items = [((lang, _native(text)), s) for lang, text in sorted(rows, key=lambda r: hashlib.md5(r[1].encode()).digest()) if (s := [u for u in units(text) if is_sentence(u)])]
     letters = _letters(u for _, s in items for u in s)
@@ -242,7 +249,7 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool],
         for c in classes:
             mine = [i for i, item in enumerate(items) if item[0] == c and (half is None or i % 2 == half)]
             standing = [i for i in mine if stands[i]]
-            chosen[c] = (standing, mine)
+            chosen[c] = (standing if len(standing) >= LEAST_STANDING * len(mine) else [], mine)
         found = {lang for (lang, _), (standing, _) in chosen.items() if standing}
         out = {}
         for c, (standing, mine) in chosen.items():
@@ -273,13 +280,13 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool],
 
 
 def labelled_sample(items: DataFrame) -> DataFrame:
-    """(lang, text): at most SAMPLE_ROWS rows of each language and script, chosen by hash; ``items`` has (label, text).
+    """(lang, text): at most SAMPLE_ROWS rows of Indic and of other text, chosen by hash; ``items`` has (label, text).
 
-    Spark keeps the first rows of each group within every partition before it shuffles, so no group is gathered whole.
+    Within these, languages keep their shares, so that right labels outnumber wrong ones. Spark keeps the first rows of each group within every partition before it shuffles, so no group is gathered whole.
     """
     rows = items.select(label_code(F.col("label")).alias("lang"), F.substring("text", 1, SAMPLE_TEXT).alias("text")).where("lang is not null and length(text) > 20")
     rows = rows.withColumn("native", F.col("text").rlike(r"[ঀ-৿ऀ-ॿ]")).withColumn("h", F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy("lang", "native").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("native").orderBy("h"))
     return rows.withColumn("n", place).where(F.col("n") <= SAMPLE_ROWS).select("lang", "text").distinct()
 
 

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookalikes import LOOKALIKES
+from .sampling import first_by_hash
 
 # The languages and the usual spellings of their labels.
 LANGUAGES = ("bn", "de", "en", "es", "fr", "hi", "pt")
@@ -282,12 +283,11 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool],
 def labelled_sample(items: DataFrame) -> DataFrame:
     """(lang, text): at most SAMPLE_ROWS rows of Indic and of other text, chosen by hash; ``items`` has (label, text).
 
-    Within these, languages keep their shares, so that right labels outnumber wrong ones. Spark keeps the first rows of each group within every partition before it shuffles, so no group is gathered whole.
+    Within these, languages keep their shares, so that right labels outnumber wrong ones.
     """
     rows = items.select(label_code(F.col("label")).alias("lang"), F.substring("text", 1, SAMPLE_TEXT).alias("text")).where("lang is not null and length(text) > 20")
-    rows = rows.withColumn("native", F.col("text").rlike(r"[ঀ-৿ऀ-ॿ]")).withColumn("h", F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy("native").orderBy("h"))
-    return rows.withColumn("n", place).where(F.col("n") <= SAMPLE_ROWS).select("lang", "text").distinct()
+    rows = rows.withColumn("native", F.col("text").rlike(r"[ঀ-৿ऀ-ॿ]"))
+    return first_by_hash(rows, SAMPLE_ROWS, ["native"], ["text", "lang"]).select("lang", "text").distinct()
 
 
 def fitted(items: DataFrame) -> tuple[list[str], dict[tuple[str, bool], str]]:

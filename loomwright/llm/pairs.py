@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import LANGUAGES, label_code
 from .lookalikes import INVISIBLE, LOOKALIKES
+from .sampling import first_by_hash
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 #: Hashed n-grams, and rows that are sampled of each kind: pairs of each answer script, refusals, labelled questions of each language.
@@ -390,16 +391,13 @@ class PairModel:
 def training_rows(queries: DataFrame, labels: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """(kind, a, b): bounded samples, chosen by hash: `pair` (question, answer), `refusal` (answer) and `language` (code, text)."""
 
-    def first(df: DataFrame, n: int, *by: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("kind", *by).orderBy(F.xxhash64("a", "b")))
-        return df.withColumn("n", place).where(F.col("n") <= n).select("kind", "a", "b")
-
     status = F.lower(F.btrim("status"))
     q = queries.where("answer is not null")
     pairs = q.where(status == "answered").select(F.lit("pair").alias("kind"), F.col("question").alias("a"), F.col("answer").alias("b"), F.when(F.col("answer").rlike("[ঀ-৿]"), "bn").when(F.col("answer").rlike("[ऀ-ॿ]"), "hi").otherwise("la").alias("script"))
     refused = q.where(status == "refused").select(F.lit("refusal").alias("kind"), F.lit("").alias("a"), F.col("answer").alias("b")).distinct()
     texts = labels.select(F.lit("language").alias("kind"), label_code(F.col("label")).alias("a"), F.col("text").alias("b")).where("a is not null and b is not null")
-    return first(pairs, SAMPLE_PAIRS, "script").unionByName(first(refused, SAMPLE_REFUSALS)).unionByName(first(texts, SAMPLE_LANGUAGE, "a"))
+    parts = (first_by_hash(pairs, SAMPLE_PAIRS, ["script"], ["a", "b"]), first_by_hash(refused, SAMPLE_REFUSALS, ["kind"], ["b"]), first_by_hash(texts, SAMPLE_LANGUAGE, ["a"], ["b"]))
+    return parts[0].select("kind", "a", "b").unionByName(parts[1].select("kind", "a", "b")).unionByName(parts[2].select("kind", "a", "b"))
 
 
 def fitted(queries: DataFrame, labels: DataFrame) -> PairModel:

@@ -6,9 +6,11 @@ answers cut off, questions for answers, answers swapped with ones in another lan
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,7 +258,7 @@ def features(questions: list[str], answers: list[str], raw: list[str], languages
         x[i, 1] = not closed
         x[i, 2] = closed
         x[i, 3] = cited
-        x[i, 4] = bool(re.search(r"[,;:\-–]$", a))
+        x[i, 4] = bool(re.search(r"[,;:\-–]$", a)) or a.count("(") > a.count(")")
         x[i, 5] = bool(re.search(r"=\s*\d+$", a))
         own, back = _overlap(q, a)
         x[i, 6], x[i, 7], x[i, 8] = own, back, own > 0.95 and back > 0.6
@@ -272,6 +274,10 @@ def features(questions: list[str], answers: list[str], raw: list[str], languages
     return x
 
 
+def hash_of(text: str) -> bytes:
+    return hashlib.md5(text.encode()).digest()
+
+
 # --- training ----------------------------------------------------------------------------------------------------------
 
 
@@ -284,6 +290,10 @@ class PairModel:
         pairs = [(_clean(q), a) for q, a in pairs if a and len(_letters(bare(a))) >= 12]
         # an answer that ends in a full stop or in its citations is over
         sound = [(q, a) for q, a in pairs if (re.search(r"[.।!?][\"')\]]*$", bare(a)) or _trail.search(a)) and _overlap(q, bare(a))[0] < 0.8]
+        # sentences that many answer with, whatever was asked, tell nothing of sound answers
+        parts = [[_letters(p) for p in _parts.split(bare(a))] for _, a in sound]
+        often = Counter(p for ps in parts for p in set(ps))
+        sound = [pair for pair, ps in zip(sound, parts) if min(often[p] for p in ps) < 3]
         sound = [p for p, s in zip(sound, self._sound(sound, known, rng)) if s] if len(sound) >= 50 else sound
         self._fit(sound, known, rng)
 
@@ -304,6 +314,8 @@ class PairModel:
         for (q, a), langs in zip(sound, spoken_in):
             kind = rng.integers(0, 8)
             text = bare(a)
+            if re.search(r"=\s*\d+$", text):  # a value ends an answer too, cited or not
+                rows.append((q, text, -1))
             if kind <= 1 and len(text) > 12:
                 cut = int(rng.integers(max(4, len(text) // 5), len(text) - 2))
                 rows.append((q, text[:cut].rstrip(), 1))
@@ -318,10 +330,12 @@ class PairModel:
                     rows.append((q, pool[rng.integers(0, len(pool))], 4))
             elif kind == 5:
                 rows.append((q, ["", " ", "N/A", "-", "null", "...", "<p></p>", "—", "none", "[]"][rng.integers(0, 10)], 0))
+            elif kind == 7:  # an answer that repeats the question and goes on is one
+                rows.append((q, f"{q}{' ' if rng.random() < 0.5 else chr(10)}{a}", -1))
             elif kind == 6:
                 r = known[rng.integers(0, len(known))] if known and rng.random() < 0.1 else refusals(rng, 1)[0]
                 rows.append((q, r if rng.random() < 0.7 else r.rstrip(".।"), 2))
-        for i in rng.integers(0, max(1, len(sound)), len(sound) // 4) if sound else ():
+        for i in rng.integers(0, max(1, len(sound)), len(sound) // 3) if sound else ():
             r = refusals(rng, 1)[0]
             rows.append((sound[i][0], r if rng.random() < 0.7 else r.rstrip(".।"), 2))
         rows = [rows[i] for i in rng.permutation(len(rows))]
@@ -339,7 +353,7 @@ class PairModel:
         x = self._features(q, texts, a)
         onehot = (y[:, None] == np.arange(len(DEFECTS))).astype(float)
         fit = np.flatnonzero(~held)
-        self.defects.fit([texts[i] for i in fit], onehot[fit], x[fit], epochs=8)
+        self.defects.fit([texts[i] for i in fit], onehot[fit], x[fit], epochs=12)
         if held.any():
             s = self.defects.scores([texts[i] for i in np.flatnonzero(held)], x[held])
             for k in range(len(DEFECTS)):
@@ -356,13 +370,14 @@ class PairModel:
 
     def _features(self, q: list[str], texts: list[str], raw: list[str]) -> np.ndarray:
         x = features(q, texts, [_clean(r) for r in raw], self.languages)
+        x[:, [0, 8, 9]] *= 3  # what decides by itself weighs more than the many n-grams
         e = self.ends.scores([_end(t) for t in texts])[:, 0]
         # how much the end looks cut counts where nothing closes it
         return np.column_stack([x[:, :-1], np.clip(e, -6, 6) * x[:, 1] * (1 - x[:, 5])])
 
     @staticmethod
     def _fit_languages(rows: list[tuple[str, str]]) -> Linear:
-        latin = [(lang, part) for lang, text in rows for part in _parts.split(_clean(text)) if len(part) > 10 and not _BN.search(part) and not _HI.search(part)]
+        latin = [(lang, part) for lang, text in sorted(rows, key=lambda r: hash_of(r[1])) for part in _parts.split(_clean(text)) if len(part) > 10 and not _BN.search(part) and not _HI.search(part)]
         model = Linear(len(LANGUAGES), (2, 3, 4))
         if latin:
             y = np.array([[lang == k for k in LANGUAGES] for lang, _ in latin], dtype=float)
@@ -370,12 +385,18 @@ class PairModel:
             count = y.sum(axis=0)
             repeat = np.minimum(6, np.maximum(1, np.round(count.max() / np.maximum(1, y @ count)))).astype(int)
             index = np.repeat(np.arange(len(latin)), repeat)
+            # rows whose label the other half's model doesn't find right are left out
+            half = np.arange(len(latin)) % 2
+            right = np.zeros(len(latin), dtype=bool)
+            for k in (0, 1):
+                train, test = np.flatnonzero(half != k), np.flatnonzero(half == k)
+                if len(train) and len(test):
+                    best = Linear(len(LANGUAGES), (2, 3, 4)).fit([latin[i][1] for i in train], y[train], epochs=5).scores([latin[i][1] for i in test]).argmax(axis=1)
+                    right[test] = [LANGUAGES[b] == latin[i][0] for b, i in zip(best, test)]
+            # a language that is rarely written so may be lost like this; its rows stay if none is right
+            kept = {latin[i][0] for i in np.flatnonzero(right)}
+            index = np.array([i for i in index if right[i] or latin[i][0] not in kept])
             model.fit([latin[i][1] for i in index], y[index], epochs=8)
-            # once more without the rows whose label the model itself finds wrong
-            best = model.scores([p for _, p in latin]).argmax(axis=1)
-            index = np.array([i for i in index if LANGUAGES[best[i]] == latin[i][0]])
-            if len(index):
-                model = Linear(len(LANGUAGES), (2, 3, 4)).fit([latin[i][1] for i in index], y[index], epochs=8)
         return model
 
     def judge(self, questions: list[str | None], answers: list[str | None]) -> list[tuple[str, float] | None]:

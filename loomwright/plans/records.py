@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import layout as Y
 from ..operators import records as D
+from ..operators import terms as T
 from ..tables import latest, table
 
 
@@ -188,7 +189,15 @@ def section_siblings(spark, folder):
     return d.join(other, ["manual_id", "page", "scope"]).where("draft_id <> sibling").select("draft_id", "sibling")
 
 
-QUERIES = {q.__name__: q for q in (list_manuals, scan_ready_chunks, scan_chunks_scoped, library_metrics, dedup_by_sha256, corpus_digest, equal_pages, upsert_feedback, export_feedback_guarded, feedback_by_verdict, export_study, trial_elapsed, export_queries, cited_page_rollup, uncited_chunks, cascade_delete, timing_summary, status_by_release, previous_question, normalized_questions, question_flags, electrical_noise_chunks, question_models, model_scope_resolution, translation_number_drift, search_word_error, heading_keys, chunk_windows, search_text_builder, row_linearize, filled_cells, safety_notes, draft_manifest, section_siblings)}
+def question_intents(spark, folder):
+    return _questions(spark, folder).select("id", F.posexplode(T.intents(F.col("question"))).alias("part", "intent"))
+
+
+def manual_keyterms(spark, folder):
+    return T.key_terms(table(spark, folder, "unit_drafts", F.col("manual_id").alias("owner"), F.regexp_replace("title", r" \d+$", "").alias("term")))
+
+
+QUERIES = {q.__name__: q for q in (list_manuals, scan_ready_chunks, scan_chunks_scoped, library_metrics, dedup_by_sha256, corpus_digest, equal_pages, upsert_feedback, export_feedback_guarded, feedback_by_verdict, export_study, trial_elapsed, export_queries, cited_page_rollup, uncited_chunks, cascade_delete, timing_summary, status_by_release, previous_question, normalized_questions, question_flags, electrical_noise_chunks, question_models, model_scope_resolution, translation_number_drift, search_word_error, heading_keys, chunk_windows, search_text_builder, row_linearize, filled_cells, safety_notes, draft_manifest, section_siblings, question_intents, manual_keyterms)}
 
 _READY = "r AS (SELECT c.*, title, knowledge_status, knowledge_release FROM chunks c JOIN manuals m ON m.id = manual_id AND m.status = 'ready')"
 _FEEDBACK = "f AS (SELECT DISTINCT * FROM feedback QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST, verdict DESC NULLS LAST, note DESC NULLS LAST) = 1)"
@@ -201,6 +210,9 @@ _MODELS = "list_distinct(list_filter(regexp_extract_all(concat(' ', replace(uppe
 _H = "sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(text, chr(0))))"
 
 ORACLE = {
+    "question_intents": f"""WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL), p AS (SELECT id, question, list_filter(list_transform(string_split(regexp_replace(question, '([.!?;।])\\s+|\\n\\s*\\n', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: length(x) >= 15 AND regexp_matches(x, '{T.EVENTS}')) AS a FROM q),
+      u AS (SELECT id, question, a, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM p), r AS (SELECT id, CASE WHEN len(d) <= 1 THEN [question] WHEN len(d) <= 4 THEN d END AS l FROM u)
+      SELECT id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS part, unnest(l) AS intent FROM r""",
     "list_manuals": "SELECT id, title, status, pages, created_at FROM manuals",
     "scan_ready_chunks": f"WITH {_READY} SELECT DISTINCT id, manual_id, page, ordinal, extraction, CAST(length(text) AS INTEGER) AS chars, title, knowledge_release FROM r",
     "scan_chunks_scoped": f"WITH {_READY} SELECT DISTINCT id, manual_id, page, ordinal, title FROM r WHERE knowledge_status = 'visual-enriched' AND extraction = 'ocr-eng'",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.text import STOPWORDS, tokens
 from ..operators import retrieval as R
+from ..operators.terms import merged_intents
 from ..tables import table
 
 
@@ -86,6 +87,15 @@ def fused_page_check(spark, folder):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
 
 
+def multi_intent_merge(spark, folder):
+    """Two intents of each asking document, its title and its text's first line, searched by themselves and merged."""
+    d = table(spark, folder, "documents", F.col("doc_id").alias("query_id"), "title", F.substring_index(F.substring("text", 1, 200), "\n", 1).alias("line")).where("query_id % 20 = 0")
+    asked = d.select((F.col("query_id") * 2).alias("query_id"), F.col("title").alias("question")).unionByName(d.select((F.col("query_id") * 2 + 1).alias("query_id"), F.col("line").alias("question"))).where("question is not null")
+    found = _ranked_lexical(R.bm25(_docs(spark, folder), asked))
+    found = found.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).cast("int").alias("intent"), "doc_id", "rank")
+    return merged_intents(found, 4)
+
+
 def missing_embeddings(spark, folder):
     return table(spark, folder, "documents", "doc_id").join(table(spark, folder, "embeddings", F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
@@ -96,7 +106,7 @@ def index_set_equality(spark, folder):
     return both.agg(F.count_if(F.col("e").isNull()).alias("only_documents"), F.count_if(F.col("d").isNull()).alias("only_vectors"), F.count_if(F.col("d").isNotNull() & F.col("e").isNotNull()).alias("both"))
 
 
-QUERIES = {q.__name__: q for q in (tokenize_terms, term_stats, corpus_stats, bm25_topk, bm25_scoped_topk, cosine_topk, vector_validation, rrf_hybrid_topk, hybrid_trigger_first, fused_page_check, missing_embeddings, index_set_equality)}
+QUERIES = {q.__name__: q for q in (tokenize_terms, term_stats, corpus_stats, bm25_topk, bm25_scoped_topk, cosine_topk, vector_validation, rrf_hybrid_topk, hybrid_trigger_first, fused_page_check, multi_intent_merge, missing_embeddings, index_set_equality)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -112,6 +122,10 @@ _TERMS = f"""t AS (SELECT doc_id, source, {sql_tokens('text')} AS t FROM documen
   q AS (SELECT DISTINCT doc_id AS query_id, source, unnest({sql_tokens('title')}) AS term FROM documents WHERE doc_id % 20 = 0)"""
 
 
+_INTENT_TERMS = f"""i AS (SELECT doc_id AS query_id, 0 AS intent, title AS question FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 1, string_split(text[1:200], chr(10))[1] FROM documents WHERE doc_id % 20 = 0),
+  iq AS (SELECT DISTINCT query_id, intent, unnest({sql_tokens('question')}) AS term FROM i)"""
+
+
 def _bm25_sql(scoped: bool) -> str:
     using, key = (" USING (source)", "source, ") if scoped else ("", "")
     return f"""WITH {_TERMS}, n AS (SELECT {key}count(*) AS n, avg(coalesce(len(t), 0)) AS a FROM t{' GROUP BY source' if scoped else ''}),
@@ -143,6 +157,10 @@ ORACLE = {
     "rrf_hybrid_topk": f"WITH {_FUSED} SELECT query_id, doc_id, fused_rank, round(rank_score, 9) AS rank_score, dense_rank, lexical_rank FROM g WHERE fused_rank <= 4",
     "hybrid_trigger_first": f"WITH {_TRIGGER} SELECT * FROM i WHERE final_rank <= 4",
     "fused_page_check": f"WITH {_TRIGGER}, k AS (SELECT query_id, max(same) AS hit FROM i WHERE final_rank <= 4 GROUP BY query_id) SELECT source, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits FROM k JOIN documents ON doc_id = query_id GROUP BY source",
+    "multi_intent_merge": f"""WITH {_TERMS}, {_INTENT_TERMS}, n AS (SELECT count(*) AS n, avg(coalesce(len(t), 0)) AS a FROM t), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+      s AS (SELECT query_id, intent, tf.doc_id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))), 6) AS score FROM iq JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, intent ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+      SELECT query_id, doc_id, string_agg(CAST(intent AS VARCHAR), ',' ORDER BY intent) AS intents, min(intent) AS first_intent, min(rank) AS best_rank, bool_or(rank <= 4) AS primary FROM r WHERE rank <= 24 GROUP BY ALL""",
     "missing_embeddings": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "index_set_equality": "SELECT count(*) FILTER (vec_id IS NULL) AS only_documents, count(*) FILTER (doc_id IS NULL) AS only_vectors, count(*) FILTER (doc_id IS NOT NULL AND vec_id IS NOT NULL) AS both FROM documents FULL JOIN embeddings ON vec_id = doc_id",
 }

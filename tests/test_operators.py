@@ -152,3 +152,22 @@ def test_records(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "i int, t string")
     assert D.digest(rows, "i", "t").first() == D.digest(rows.orderBy(F.desc("i")).repartition(3), "i", "t").first() != D.digest(rows.distinct(), "i", "t").first()
     assert D.digest(rows.limit(0), "i", "t").first().n == 0
+
+
+def test_key_terms_and_intents(spark):
+    from loomwright.operators import terms as T
+
+    r = random.Random(3)
+    rows = [("hot", f"{r.choice(['needle', 'Thread', 'সুতা'])} {i:03d} {'x' * r.randint(0, 40)}".strip()) for i in range(300)]
+    rows += [("a", "Wheel"), ("a", "wheel"), ("a", "a, b"), ("a", "y" * 90), ("a", None), (None, "z"), ("b", "")]
+    got = defaultdict(list)
+    for x in T.key_terms(spark.createDataFrame(rows, "owner string, term string")).orderBy("owner", "position").collect():
+        got[x.owner].append(x.term)
+    want, size = [], 0
+    for t in sorted({t for o, t in rows if o == "hot"}, key=str.lower):
+        if len(want) < 32 and size + len(t.encode()) + 1 <= 480:
+            want.append(t)
+            size += len(t.encode()) + 1
+    assert got == {"hot": want, "a": ["Wheel"]}
+    asked = spark.createDataFrame([("The motor stops suddenly. The thread breaks at once! Thanks a lot.",), ("Why?",), (None,), (" ".join(f"The motor number {i} stops here." for i in range(5)),)], "q string")
+    assert [x.i for x in asked.select(T.intents(F.col("q")).alias("i")).collect()] == [["The motor stops suddenly.", "The thread breaks at once!"], ["Why?"], None, None]

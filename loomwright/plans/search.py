@@ -89,7 +89,7 @@ def fused_page_check(spark, folder):
 
 def multi_intent_merge(spark, folder):
     """Two intents of each asking document, its title and its text's first line, searched by themselves and merged."""
-    d = table(spark, folder, "documents", F.col("doc_id").alias("query_id"), "title", F.substring_index(F.substring("text", 1, 200), "\n", 1).alias("line")).where("query_id % 20 = 0")
+    d = table(spark, folder, "documents", F.col("doc_id").alias("query_id"), "title", F.substring_index("text", "\n", 1).alias("line")).where("query_id % 20 = 0")
     asked = d.select((F.col("query_id") * 2).alias("query_id"), F.col("title").alias("question")).unionByName(d.select((F.col("query_id") * 2 + 1).alias("query_id"), F.col("line").alias("question"))).where("question is not null")
     found = _ranked_lexical(R.bm25(_docs(spark, folder), asked))
     found = found.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).cast("int").alias("intent"), "doc_id", "rank")

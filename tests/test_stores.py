@@ -78,5 +78,13 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(tuple(map(norm, r)) for r in df.select(*cols).collect()) == sorted(tuple(map(norm, r)) for r in sql)
 
 
+def test_second_intent_is_the_whole_first_line(spark, tmp_path):
+    line = "needle " * 40 + "zigzag"  # the last word begins after character 200
+    rows = [(20, line + "\nnext bobbin", "s", "unseen"), (21, "zigzag", "s", None), (22, "bobbin", "s", None), (40, None, "s", "zigzag"), (60, "", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.query_id, r.doc_id, r.intents) for r in entry.queries()["multi_intent_merge"](spark, str(tmp_path)).collect()}
+    assert got == {(20, 20, "1"), (20, 21, "1"), (40, 20, "0"), (40, 21, "0")}
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60

@@ -1,15 +1,18 @@
-"""Linking, closure and layout queries over the views of units, edges and boxes."""
+"""Linking, closure and layout queries over the views of units, edges and boxes, and as `given_…` over the given units."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import closure as C
 from ..operators import layout as Y
 from ..operators import linking as L
+from ..session import materialise
 from ..tables import table
-from .views import BOXES, EDGES, UNITS, view
+from .views import BOXES, EDGES, UNITS, given_units, view
 
 
 def _units(spark, folder):
@@ -20,49 +23,49 @@ def manual_units(spark, folder):
     return _units(spark, folder).select("unit_id", "manual_id", "page", "section_key", "kind")
 
 
-def note_refs(spark, folder):
-    return L.note_references(_units(spark, folder))
+def note_refs(spark, folder, units=_units):
+    return L.note_references(units(spark, folder))
 
 
-def note_edges(spark, folder):
-    return L.note_edges(_units(spark, folder))
+def note_edges(spark, folder, units=_units):
+    return L.note_edges(units(spark, folder))
 
 
-def unresolved_notes(spark, folder):
-    return L.unresolved_notes(_units(spark, folder))
+def unresolved_notes(spark, folder, units=_units):
+    return L.unresolved_notes(units(spark, folder))
 
 
-def setting_requirements(spark, folder):
-    return _units(spark, folder).select("unit_id", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "r.setting_id", "r.value")
+def setting_requirements(spark, folder, units=_units):
+    return units(spark, folder).select("unit_id", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "r.setting_id", "r.value")
 
 
-def requirement_edges(spark, folder):
-    return L.requirement_edges(_units(spark, folder))
+def requirement_edges(spark, folder, units=_units):
+    return L.requirement_edges(units(spark, folder))
 
 
-def warning_edges(spark, folder):
-    return L.warning_edges(_units(spark, folder)).groupBy("src").agg(F.count("*").alias("warnings"), F.min("dst").alias("first"))
+def warning_edges(spark, folder, units=_units):
+    return L.warning_edges(units(spark, folder)).groupBy("src").agg(F.count("*").alias("warnings"), F.min("dst").alias("first"))
 
 
-def page_reference_edges(spark, folder):
-    return L.page_reference_edges(_units(spark, folder))
+def page_reference_edges(spark, folder, units=_units):
+    return L.page_reference_edges(units(spark, folder))
 
 
-def unresolved_page_refs(spark, folder):
-    return L.unresolved_pages(_units(spark, folder))
+def unresolved_page_refs(spark, folder, units=_units):
+    return L.unresolved_pages(units(spark, folder))
 
 
-def applicability_edges(spark, folder):
-    return L.applicability_edges(_units(spark, folder)).groupBy("src").agg(F.count("*").alias("exceptions"), F.max("dst").alias("last"))
+def applicability_edges(spark, folder, units=_units):
+    return L.applicability_edges(units(spark, folder)).groupBy("src").agg(F.count("*").alias("exceptions"), F.max("dst").alias("last"))
 
 
-def applicability_status(spark, folder):
-    return L.applicability(_units(spark, folder), "-47A").select("unit_id", F.array_join("patterns", ",").alias("patterns"), "status")
+def applicability_status(spark, folder, units=_units):
+    return L.applicability(units(spark, folder), "-47A").select("unit_id", F.array_join("patterns", ",").alias("patterns"), "status")
 
 
-def pitch_condition(spark, folder):
-    u = _units(spark, folder).where("unit_id % 4 = 2")
-    asked = F.concat(F.lit("What speed at pitch "), (F.col("unit_id") % 7).cast("string"), F.lit(".5 mm"))
+def pitch_condition(spark, folder, units=_units, number="unit_id"):
+    u = units(spark, folder).where(F.col("text").rlike(r"(?i)\bpitch\b"))
+    asked = F.concat(F.lit("What speed at pitch "), (F.col(number) % 7).cast("string"), F.lit(".5 mm"))
     return u.select("unit_id", X.pitch_condition(asked, F.col("text")).alias("meets"))
 
 
@@ -71,9 +74,9 @@ def searchable_units(spark, folder):
     return u.where((F.col("blocked") == 0) & ~((F.col("kind") == "table") & (F.col("extraction_method") == "vlm"))).select("unit_id", "kind")
 
 
-def release_manifest(spark, folder):
+def release_manifest(spark, folder, units=_units):
     """Counts of a release: units, blocked ones, and edges by relation, one row for each manual."""
-    u = _units(spark, folder)
+    u = units(spark, folder)
     e = L.note_edges(u).select("src", F.lit("note").alias("relation")).unionByName(L.requirement_edges(u).select("src", F.lit("prerequisite").alias("relation")))
     by = e.join(u.select(F.col("unit_id").alias("src"), "manual_id"), "src").groupBy("manual_id").pivot("relation", ["note", "prerequisite"]).count()
     n = u.groupBy("manual_id").agg(F.count("*").alias("units"), F.sum("blocked").alias("blocked"), F.count_if(F.col("kind") == "table").alias("tables"))
@@ -110,31 +113,59 @@ def closure_budget_guard(spark, folder):
     return C.closure_sizes(evidence_closure(spark, folder), _units(spark, folder).select(F.col("unit_id").alias("node"), "text"), 400)
 
 
-def setting_conflicts(spark, folder):
+def setting_conflicts(spark, folder, units=_units):
     """Values that a manual's units require of each setting; a conflict where they are several."""
-    r = _units(spark, folder).select("manual_id", F.explode(X.requirements(F.col("text"))).alias("r")).groupBy("manual_id", F.col("r.setting_id").alias("setting_id")).agg(F.array_join(F.sort_array(F.collect_set("r.value")), ",").alias("required"), F.countDistinct("r.value").alias("n"))
+    r = units(spark, folder).select("manual_id", F.explode(X.requirements(F.col("text"))).alias("r")).groupBy("manual_id", F.col("r.setting_id").alias("setting_id")).agg(F.array_join(F.sort_array(F.collect_set("r.value")), ",").alias("required"), F.countDistinct("r.value").alias("n"))
     return r.withColumn("conflict", F.col("n") > 1)
 
 
-def hypothesis_assessment(spark, folder):
+def hypothesis_assessment(spark, folder, units=_units):
     """Required settings against known ones (function n is set to n modulo 3): possible or ruled out."""
-    r = _units(spark, folder).select("unit_id", F.explode(X.requirements(F.col("text"))).alias("r"))
+    r = units(spark, folder).select("unit_id", F.explode(X.requirements(F.col("text"))).alias("r"))
     known = (F.substring_index("r.setting_id", ":", -1).cast("int") % 3).cast("string")
     return r.groupBy("unit_id").agg(F.count_if(F.col("r.value") != known).alias("against")).select("unit_id", F.when(F.col("against") > 0, "ruled_out").otherwise("possible").alias("assessment"))
 
 
-def claim_violations(spark, folder):
+def claim_violations(spark, folder, units=_units):
     """Units as claims: values out of the declared range of their setting, and citations of units that aren't there."""
-    u = _units(spark, folder)
-    declared = u.where("kind = 'table'").select("manual_id", F.concat(F.lit("function:"), F.regexp_extract("text", r"^No\.: (\d+);", 1)).alias("setting_id"), F.regexp_extract("text", r"range: (\d+)-", 1).cast("int").alias("low"), F.regexp_extract("text", r"range: \d+-(\d+)", 1).cast("int").alias("high")).distinct()
-    claimed = u.select("unit_id", "manual_id", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "manual_id", "r.setting_id", F.col("r.value").cast("int").alias("value"))
+    u = units(spark, folder)
+    declared = u.where("kind = 'table'").select("manual_id", F.concat(F.lit("function:"), F.regexp_extract("text", r"^No\.: (\d+);", 1)).alias("setting_id"), F.regexp_extract("text", r"range: (\d+)-", 1).try_cast("int").alias("low"), F.regexp_extract("text", r"range: \d+-(\d+)", 1).try_cast("int").alias("high")).distinct()
+    claimed = u.select("unit_id", "manual_id", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "manual_id", "r.setting_id", F.col("r.value").try_cast("int").alias("value"))
     unknown = claimed.join(declared, ["manual_id", "setting_id"], "left_anti").select("unit_id", F.lit("undeclared_setting").alias("code"))
     out = claimed.join(declared, ["manual_id", "setting_id"]).where("value < low or value > high").select("unit_id", F.lit("value_out_of_range").alias("code"))
     cited = L.unresolved_notes(u).select("unit_id", F.lit("citation_missing").alias("code"))
     return unknown.unionByName(out).unionByName(cited).distinct()
 
 
-QUERIES = {q.__name__: q for q in (manual_units, note_refs, note_edges, unresolved_notes, setting_requirements, requirement_edges, warning_edges, page_reference_edges, unresolved_page_refs, applicability_edges, applicability_status, pitch_condition, searchable_units, release_manifest, section_carry_forward, overlap_blocks, page_bounds, evidence_closure, conditional_closure, closure_budget_guard, setting_conflicts, hypothesis_assessment, claim_violations)}
+def _given_closure(spark, folder):
+    """Closure of every given unit over all mandatory edges that linking finds; pages referred to are followed from the unit itself
+    only, not from its context."""
+    u = materialise(given_units(spark, folder), "units")
+    none = F.lit(None).cast("string")
+    bare = L.note_edges(u).select("src", "dst").unionByName(L.warning_edges(u)).unionByName(L.applicability_edges(u)).select("src", "dst", none.alias("required_value"), none.alias("when_value"))
+    edges = L.requirement_edges(u).select("src", "dst", "required_value", none.alias("when_value")).unionByName(bare)
+    own = u.select(F.col("unit_id").alias("query_id"), F.col("unit_id").alias("node"))
+    pages = L.page_reference_edges(u).select(F.col("src").alias("query_id"), F.col("dst").alias("node"))
+    return C.evidence_closure(materialise(edges.distinct(), "edges"), own.unionByName(pages).withColumn("required_value", none))
+
+
+def given_conditional_closure(spark, folder):
+    return _given_closure(spark, folder)
+
+
+def given_evidence_closure(spark, folder):
+    return _given_closure(spark, folder).select("query_id", "node").distinct()
+
+
+def given_closure_budget_guard(spark, folder):
+    return C.closure_sizes(given_evidence_closure(spark, folder), given_units(spark, folder).select(F.col("unit_id").alias("node"), "text"))
+
+
+GIVEN = {f"given_{q.__name__}": partial(q, units=given_units) for q in (note_refs, note_edges, unresolved_notes, setting_requirements, requirement_edges, warning_edges, page_reference_edges, unresolved_page_refs, applicability_edges, applicability_status, release_manifest, setting_conflicts, hypothesis_assessment, claim_violations)}
+GIVEN |= {"given_pitch_condition": partial(pitch_condition, units=given_units, number="page")}
+GIVEN |= {q.__name__: q for q in (given_conditional_closure, given_evidence_closure, given_closure_budget_guard)}
+
+QUERIES = {q.__name__: q for q in (manual_units, note_refs, note_edges, unresolved_notes, setting_requirements, requirement_edges, warning_edges, page_reference_edges, unresolved_page_refs, applicability_edges, applicability_status, pitch_condition, searchable_units, release_manifest, section_carry_forward, overlap_blocks, page_bounds, evidence_closure, conditional_closure, closure_budget_guard, setting_conflicts, hypothesis_assessment, claim_violations)} | GIVEN
 
 _U = f"u AS ({UNITS})"
 _DEF = """d AS (SELECT *, regexp_extract(text, '(?i)^\\s*\\(?NOTE\\s+(\\d+)\\)?(?:\\s|:)', 1) AS own FROM u),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import layout as Y
 from ..tables import table
 
 UNITS = """SELECT o_orderkey AS unit_id, concat('src', CAST(o_custkey % 20 AS STRING)) AS manual_id, CAST(o_orderkey % 40 + 1 AS INT) AS page,
@@ -27,3 +29,19 @@ BOXES = """SELECT o_orderkey AS box_id, CAST(o_orderkey % 40 AS INT) AS page, CA
 def view(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """``sql`` over the table orders of ``folder``."""
     return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=table(spark, folder, "orders"))
+
+
+def given_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of the given tables, with the columns of UNITS: drafts with all their wording, each row of their tables, and the paragraphs
+    of chunks, where a note begins one of its own. A null section is the empty one, as in the reference."""
+    d = table(spark, folder, "unit_drafts").distinct()
+    section = F.coalesce("section_key", F.lit("")).alias("section_key")
+    words = F.concat_ws("\n", "text", "condition_text", "cause", "checks", "actions", "warnings")
+    draft = d.select(F.col("draft_id").alias("unit_id"), "manual_id", "page", section, "kind", F.lit("text").alias("extraction_method"), words.alias("text"))
+    rows = Y.table_rows(d).select("draft_id", "row", F.col("text").alias("line")).join(d.select("draft_id", "manual_id", "page", section), "draft_id")
+    rows = rows.select(F.concat_ws("#", "draft_id", "row").alias("unit_id"), "manual_id", "page", "section_key", F.lit("table").alias("kind"), F.lit("text").alias("extraction_method"), F.col("line").alias("text"))
+    c = table(spark, folder, "chunks", "id", "manual_id", "page", "extraction", "text").distinct()
+    part = c.select("id", "manual_id", "page", "extraction", F.posexplode(F.split("text", r"(?im)\n\s*\n|(?=^\s*\(NOTE\s+\d+\))")).alias("part", "text")).where("trim(text) <> ''")
+    kind = F.when(F.col("text").rlike(r"(?:^|\n)\s*1[.)]\s"), "procedure").otherwise("information")
+    chunk = part.select(F.concat_ws("#", "id", "part").alias("unit_id"), "manual_id", "page", F.lit("").alias("section_key"), kind.alias("kind"), F.col("extraction").alias("extraction_method"), "text")
+    return draft.unionByName(rows).unionByName(chunk).distinct().withColumn("blocked", F.lit(0))

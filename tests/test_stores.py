@@ -86,5 +86,20 @@ def test_second_intent_is_the_whole_first_line(spark, tmp_path):
     assert got == {(20, 20, "1"), (20, 21, "1"), (40, 20, "0"), (40, 21, "0")}
 
 
+def test_given_texts_are_linked(spark, tmp_path):
+    chunks = [("m:1:0", "m", 1, 0, "Tighten it, see NOTE 1 and see page 9.\n(NOTE 1) Keep off.", "text"), ("m:1:0", "m", 1, 0, "Tighten it, see NOTE 1 and see page 9.\n(NOTE 1) Keep off.", "text"),
+              ("m:9:0", "m", 9, 0, "WARNING: Disconnect.\n\nPitch 4 or less", "text"), ("m:9:1", "m", 9, 1, None, "text")]
+    spark.createDataFrame(chunks, "id string, manual_id string, page int, ordinal int, text string, extraction string").write.parquet(str(tmp_path / "chunks.parquet"))
+    drafts = [("d", "m", 9, "table", "t", "Settings", None, None, [], ["Install if Function No. 12 is set to 3"], [], ["No.", "Setting range"], [["12", "0-2"]], None, None)]
+    spark.createDataFrame(drafts, "draft_id string, manual_id string, page int, kind string, title string, text string, condition_text string, cause string, checks array<string>, actions array<string>, warnings array<string>, table_headers array<string>, table_rows array<array<string>>, parent_key string, section_key string").write.parquet(str(tmp_path / "unit_drafts.parquet"))
+    run = lambda name, *cols: {tuple(r) for r in entry.queries()["given_" + name](spark, str(tmp_path)).select(*cols).collect()}
+    assert run("note_edges", "src", "dst", "number") == {("m:1:0#0", "m:1:0#1", "1")}
+    assert run("requirement_edges", "src", "dst", "required_value") == {("d", "d#0", "3")}
+    assert run("page_reference_edges", "src", "dst") == {("m:1:0#0", x) for x in ("m:9:0#0", "m:9:0#1", "d", "d#0")}
+    assert run("claim_violations", "unit_id", "code") == {("d", "value_out_of_range")} and len(run("pitch_condition", "unit_id")) == 1
+    got = run("conditional_closure", "query_id", "node", "required_value")
+    assert {x for x in got if x[0] == "d"} == {("d", "d", None), ("d", "d#0", "3"), ("d", "m:9:0#0", None)} and ("m:1:0#0", "m:1:0#1", None) in got
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60

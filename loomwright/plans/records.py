@@ -102,9 +102,14 @@ def timing_summary(spark, folder):
     return t.groupBy("retrieval_release").agg(F.count("*").alias("n"), F.count("t.total_seconds").alias("timed"), F.round(F.median("t.total_seconds"), 6).alias("median_seconds"), F.round(F.avg("t.retrieval_seconds"), 6).alias("mean_retrieval"))
 
 
+STATUSES = ("answered", "clarify", "no_evidence", "refused", "not_applicable", "provider_error", "pipeline_error")
+
+
 def status_by_release(spark, folder):
+    """Questions of each release by status, those without one as `missing` and those of any other as `other`."""
     q = _queries(spark, folder, "id", "retrieval_release", F.lower(F.btrim("status")).alias("status")).distinct()
-    return q.groupBy("retrieval_release").pivot("status", ["answered", "clarify", "no_evidence", "refused"]).count().select("retrieval_release", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("answered", "clarify", "no_evidence", "refused")])
+    status = F.col("status")
+    return q.groupBy("retrieval_release").agg(*[F.count_if(status == c).alias(c) for c in STATUSES], F.count_if(status.isNull()).alias("missing"), F.count_if(~status.isin(*STATUSES)).alias("other"))
 
 
 def previous_question(spark, folder):

@@ -161,8 +161,10 @@ def heading_keys(spark, folder):
 
 
 def chunk_windows(spark, folder):
-    c = table(spark, folder, "chunks", "id", "text").where("length(text) > 1100").distinct()
-    return c.select("id", F.posexplode(X.windows(F.col("text"))).alias("ordinal", "piece"))
+    """Windows of all chunks and documents; a text within the limit is one window, a null or blank one none."""
+    c = table(spark, folder, "chunks", F.lit("chunks").alias("item_table"), "id", "text")
+    d = table(spark, folder, "documents", F.lit("documents").alias("item_table"), F.col("doc_id").cast("string").alias("id"), "text")
+    return c.unionByName(d).distinct().select("item_table", "id", F.posexplode(X.windows(F.col("text"))).alias("ordinal", "piece"))
 
 
 def search_text_builder(spark, folder):

@@ -40,8 +40,7 @@ def unique_target(pairs: DataFrame, owner: list[str]) -> DataFrame:
 
 
 def note_edges(units: DataFrame) -> DataFrame:
-    """(src, dst, number, when_value): a unit and the note it refers to in its section. ``when_value`` is the branch (`v:`) of the
-    line that mentions the note."""
+    """(src, dst, number): a unit and the note it refers to in its section."""
     d = note_definitions(units).select("manual_id", "section_key", "number", F.col("unit_id").alias("target"), F.col("page").alias("t_page"), F.col("extraction_method").alias("t_method"), F.col("text").alias("t_text"))
     pairs = note_references(units).join(d, ["manual_id", "section_key", "number"])
     return unique_target(pairs, ["unit_id", "number"]).where("target <> unit_id").select(F.col("unit_id").alias("src"), F.col("target").alias("dst"), "number")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialise
 
 K1, B, POOL, FUSION = 1.5, 0.75, 24, 60
 #: Query vectors that are matched against all rows at once: a block of them goes to every task.
@@ -67,6 +68,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFra
 
     ``vectors`` has (doc_id, vec), ``queries`` (query_id, vec). Queries are taken in blocks of bounded size; each task matches its
     rows against a block by one matrix product and keeps ``k`` of each query, so what is shuffled is k rows a query and task.
+    Of several blocks each is written to the shared folder before the next is collected, so the driver holds one at a time.
     Null vectors match nothing.
     """
     queries = queries.where("vec is not null").select("query_id", "vec")
@@ -100,7 +102,9 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFra
 
         return vectors.where("vec is not null").select("doc_id", "vec").mapInPandas(run, kinds)
 
-    return top(reduce(DataFrame.unionByName, [block(b) for b in range(blocks)]), F.col("similarity"), k)
+    if blocks == 1:
+        return top(block(0), F.col("similarity"), k)
+    return reduce(DataFrame.unionByName, [materialise(top(block(b), F.col("similarity"), k), "cosine") for b in range(blocks)])
 
 
 def fused(first: DataFrame, second: DataFrame, k: int = POOL) -> DataFrame:

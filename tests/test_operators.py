@@ -59,6 +59,17 @@ def test_cosine_top_in_blocks(spark, monkeypatch):
         assert [got[q][k] for k in range(1, 7)] == sorted(range(200), key=lambda i: (-s[i], i))[:6]
 
 
+def test_cosine_holds_one_block_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 4)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 11)], "doc_id long, vec array<double>")
+    seen, collect, write = [], type(df).collect, getattr(R, "materialise", None)
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append("collected") or collect(self))
+    monkeypatch.setattr(R, "materialise", lambda *a: seen.append("written") or write(*a), raising=False)
+    got = R.cosine_top(df, df.withColumnRenamed("doc_id", "query_id"), 1)
+    assert seen == ["collected", "written"] * 3
+    assert {(r.query_id, r.doc_id) for r in got.toLocalIterator()} == {(i, i) for i in range(1, 11)}
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, doc_id long, rank int")

@@ -15,32 +15,34 @@ def letters(line: Column) -> Column:
 
 
 def lines(documents: DataFrame, doc_id: str, source: str, text: str, published: str | None = None) -> DataFrame:
-    """(source, doc_id, cluster, line_no, key): one row for each line that has letters.
+    """(source, doc_id, cluster, day, line_no, key): one row for each line that has letters.
 
-    ``cluster`` is the hash of the whole text's letters together with the date of publication, where one is given:
-    copies of a document that came out again count once. ``key`` is 96 bits of the line's letters. Null texts have no lines.
+    ``cluster`` is the hash of the whole text's letters alone: copies of a document that came out
+    again count once. ``day`` is the date of publication, null where none is given. ``key`` is 96 bits of the line's letters. Null texts have no lines.
     """
     doc = documents.select(
         F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
         (F.col(published).cast("date") if published else F.lit(None).cast("date")).alias("day"),
     ).where("text is not null")
     whole = letters(F.col("text"))
-    doc = doc.withColumn("cluster", F.xxhash64(whole, F.col("day")))
-    line = doc.select("source", "doc_id", "cluster", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    doc = doc.withColumn("cluster", F.xxhash64(whole))
+    line = doc.select("source", "doc_id", "cluster", "day", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = line.withColumn("letters", letters(F.col("line"))).where("letters <> ''")
-    return line.select("source", "doc_id", "cluster", (F.col("pos") + 1).cast("int").alias("line_no"),
+    return line.select("source", "doc_id", "cluster", "day", (F.col("pos") + 1).cast("int").alias("line_no"),
                        F.struct(F.xxhash64("letters").alias("a"), F.hash("letters").alias("b")).alias("key"))
 
 
 def excessive(line: DataFrame, documents: DataFrame) -> DataFrame:
-    """(source, key): lines in enough distinct documents of their source. ``documents`` has (source, cluster).
+    """(source, key): lines in enough distinct documents of their source, which came out on several days where days are
+    known; a document that came out again has its first day. ``documents`` has (source, cluster).
 
     Distinct documents are counted in two steps, first (source, key, document), then (source, key): a line that stands in a
     third of all rows is spread over all tasks in the first and combined before the shuffle in the second.
     """
-    per_line = line.groupBy("source", "key", "cluster").agg(F.lit(1).alias("one")).groupBy("source", "key").agg(F.count("*").alias("n"))
+    per_line = line.groupBy("source", "key", "cluster").agg(F.min("day").alias("day")).groupBy("source", "key").agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
     total = documents.groupBy("source", "cluster").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("total"))
-    return per_line.where(F.col("n") >= LEAST_DOCUMENTS).join(total, "source").where(F.col("n") >= LEAST_SHARE * F.col("total")).select("source", "key")
+    several = F.col("first").isNull() | (F.col("first") < F.col("last"))
+    return per_line.where((F.col("n") >= LEAST_DOCUMENTS) & several).join(total, "source").where(F.col("n") >= LEAST_SHARE * F.col("total")).select("source", "key")
 
 
 def repeated_lines(documents: DataFrame, doc_id: str = "id", source: str = "manual_id", text: str = "text", published: str | None = None) -> DataFrame:

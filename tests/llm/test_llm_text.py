@@ -80,3 +80,13 @@ def test_pieces(spark):
 def test_segments_give_the_text_back(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(splitting.segments(F.col("t")).alias("s")).first()
     assert "".join(row.s) == text and all(len(x) <= 1130 for x in row.s)
+
+
+def test_republished_articles_are_no_boilerplate(spark):
+    rows = [(f"a{d}", "s", "The same story\nfrom line to line", f"2025-01-0{d}") for d in range(1, 8)]
+    rows += [(f"b{d}", "s", f"Story {'x' * d}\nShare this page", f"2025-02-0{d}") for d in range(1, 6)]
+    rows += [(f"c{d}", "s", f"Report {'y' * d}\nOnly today", "2025-03-01") for d in range(1, 6)]
+    df = spark.createDataFrame(rows, "id string, manual_id string, text string, published string")
+    found = {(r.doc_id, r.line_no) for r in boilerplate.repeated_lines(df, published="published").collect()}
+    assert found == {(f"b{d}", 2) for d in range(1, 6)}
+    assert {r.doc_id[0] for r in boilerplate.repeated_lines(df).collect()} == {"b", "c"}

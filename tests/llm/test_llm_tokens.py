@@ -60,3 +60,10 @@ def test_containers(spark, documents, attention):
 def test_best_fit_fills_the_perfect_place():
     place = packing.best_fit(np.array([1500, 1400, 648, 548, 600]), 2048, 2048, 2048**2)
     assert place[0] == place[3] and place[1] == place[2] and place[4] not in place[:4]
+
+
+@pytest.mark.parametrize("documents, attention, most", [(None, None, 3), (1, None, 1), (None, 2 * 600**2, 2)])
+def test_each_capacity_binds(spark, documents, attention, most):
+    df = spark.createDataFrame([(i, 600) for i in range(42)], "doc_id long, tokens long")
+    rows = packing.containers(df, most_documents=documents, most_attention=attention).groupBy("container").count().collect()
+    assert [r["count"] for r in rows] == [most] * (42 // most)

@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,11 @@ SPELLINGS = {
     "pt": ("pt", "por", "portuguese", "português", "portugues"),
 }
 
-#: Labelled rows of Indic and of other text that the model is fitted on, and the characters kept of each class.
+#: Distinct labelled rows of Indic and of other text that the model is fitted on, and the characters of whole sentences of these from
+#: which on a class's automaton takes no more.
 SAMPLE_ROWS, SAMPLE_CHARS = 2_500, 60_000
-#: Characters of a sampled row that the fit looks at.
-SAMPLE_TEXT = 2_000
+#: Sentences of one sampled row, spread evenly over the row, so that no long row with a wrong label speaks for its class.
+ROW_SENTENCES = 24
 
 SPACE, DIGIT, OTHER, DROPPED = 0, 1, 2, -1
 
@@ -228,9 +230,12 @@ LEAST_STANDING = 0.05
 
 
 def _native(text: str) -> bool:
-    """Most of the text's letters are of an Indic script."""
-    indic = len(_INDIC.findall(text))
-    return indic * 2 > len(text.replace(" ", "")) // 2
+    """A quarter of the text or more is in an Indic script."""
+    return len(_INDIC.findall(text)) * 4 >= len(text.replace(" ", ""))
+
+
+def _spread(sentences: list[str]) -> list[str]:
+    return sentences if len(sentences) <= ROW_SENTENCES else [sentences[i * len(sentences) // ROW_SENTENCES] for i in range(ROW_SENTENCES)]
 
 
 def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool], str]]:
@@ -240,7 +245,7 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool],
     own language needs the fewest phrases for it, so that neither wrongly labelled nor mixed items give the automata their text.
     A class of which less than LEAST_STANDING stays is dropped, unless its language would be left without any.
     """
-    items = [((lang, _native(text)), s) for lang, text in sorted(rows, key=lambda r: hashlib.md5(r[1].encode()).digest()) if (s := [u for u in units(text) if is_sentence(u)])]
+    items = [((lang, _native(text)), s) for lang, text in sorted(rows, key=lambda r: hashlib.md5(r[1].encode()).digest()) if (s := _spread([u for u in units(text) if is_sentence(u)]))]
     letters = _letters(u for _, s in items for u in s)
     stands = [True] * len(items)
     classes = sorted({c for c, _ in items})
@@ -254,7 +259,11 @@ def fit(rows: list[tuple[str, str]]) -> tuple[list[str], dict[tuple[str, bool],
         found = {lang for (lang, _), (standing, _) in chosen.items() if standing}
         out = {}
         for c, (standing, mine) in chosen.items():
-            text = " ".join(dict.fromkeys(u for i in (standing or ([] if c[0] in found else mine)) for u in items[i][1]))[:SAMPLE_CHARS]
+            # the first sentence of each item, then the second of each, so that no long item speaks for its class
+            turns = zip_longest(*(items[i][1] for i in standing or ([] if c[0] in found else mine)))
+            sentences = list(dict.fromkeys(u for turn in turns for u in turn if u is not None))
+            before = np.cumsum([0] + [len(u) + 1 for u in sentences])
+            text = " ".join(u for u, n in zip(sentences, before) if n < SAMPLE_CHARS)
             if text:
                 out[c] = text
         return out
@@ -285,9 +294,9 @@ def labelled_sample(items: DataFrame) -> DataFrame:
 
     Within these, languages keep their shares, so that right labels outnumber wrong ones.
     """
-    rows = items.select(label_code(F.col("label")).alias("lang"), F.substring("text", 1, SAMPLE_TEXT).alias("text")).where("lang is not null and length(text) > 20")
+    rows = items.select(label_code(F.col("label")).alias("lang"), "text").where("lang is not null and length(text) > 20")
     rows = rows.withColumn("native", F.col("text").rlike(r"[ঀ-৿ऀ-ॿ]"))
-    return first_by_hash(rows, SAMPLE_ROWS, ["native"], ["text", "lang"]).select("lang", "text").distinct()
+    return first_by_hash(rows, SAMPLE_ROWS, ["native"], ["text", "lang"]).select("lang", "text")
 
 
 def fitted(items: DataFrame) -> tuple[list[str], dict[tuple[str, bool], str]]:

@@ -29,9 +29,9 @@ def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _language_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """(label, text): documents and questions with their label, of which the pairs' language classifier is fitted on a sample."""
-    documents = table(spark, folder, "documents", F.col("lang").alias("label"), F.substring("text", 1, 1000).alias("text"))
-    labels = table(spark, folder, "lang_labels", F.col("item_id").alias("id"), F.col("lang").alias("label"), "item_table").where("item_table = 'queries'").drop("item_table")
+    """(label, text): documents and questions with their latest label, of which the cross-parser of the pairs is fitted on a sample."""
+    documents = table(spark, folder, "documents", F.col("lang").alias("label"), "text")
+    labels = latest(table(spark, folder, "lang_labels").where("item_table = 'queries'"), ["item_table", "item_id"], "set_at").select(F.col("item_id").alias("id"), F.col("lang").alias("label"))
     return documents.unionByName(labels.join(table(spark, folder, "queries", "id", F.col("question").alias("text")), "id").select("label", "text"))
 
 

@@ -1,11 +1,13 @@
 """Problems 1, 2, 5, 9: languages, pair defects, scanned text, reading levels, on small made corpora with known answers."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import language, ocr, pairs, reading
+from loomwright.llm import language, ocr, pairs, reading, sampling
 
 NOUNS = {
     "en": ["needle", "thread", "wheel", "cover", "bobbin", "lever", "motor", "spring"],
@@ -123,7 +125,25 @@ def test_pair_defects(spark):
     assert pairs.defects(df.limit(0), labels).count() == 0
 
 
-@pytest.mark.parametrize("question, lang", [("How? Please answer in Bengali.", "bn"), ("How? Do not answer in English, use Bengali.", "bn"), ("কীভাবে? ইংরেজিতে উত্তর দিন।", "en"), ("Comment ? Répondez en anglais.", "en"), ("The English thread?", None), ("", None)])
+def test_refusals_of_unseen_wordings():
+    r = random.Random(5)
+    sound = [(f"How do I adjust the {r.choice(NOUNS['en'])}?", text(r, lang, r.randint(1, 3))) for lang in NOUNS for _ in range(120)]
+    held = lambda how: zlib.crc32(how.encode()) % 4 == 1
+    model = pairs.PairModel(sound, [], None, held=held)
+    unseen = pairs.refusals(np.random.default_rng(1), 300, lambda how: not held(how))
+    judged = model.judge(["How?"] * 300, unseen, None)
+    assert sum(j is not None and j[0] == "refusal" for j in judged) >= 0.9 * 300
+    fresh = [text(r, lang, 2) for lang in NOUNS for _ in range(40)]
+    assert sum(j is not None for j in model.judge(["How?"] * len(fresh), fresh, None)) <= 0.02 * len(fresh)
+
+
+def test_sample_of_a_text_that_is_repeated(spark):
+    rows = [("en", f"text {i}") for i in range(300)] + [("en", "text 7")] * 3000 + [(None, "x")]
+    got = sampling.first_by_hash(spark.createDataFrame(rows, "lang string, text string").withColumn("extra", F.lit(1)), 20, ["lang"], ["text"]).collect()
+    assert len({x.text for x in got if x.lang}) == sum(x.lang is not None for x in got) == 20 and sum(x.lang is None for x in got) == 1
+
+
+@pytest.mark.parametrize("question, lang", [("How? Please answer in Bengali.", "bn"), ("O quê? (máquina nº A9) Responda em inglês, por favor.", "en"), ("How? Do not answer in English, use Bengali.", "bn"), ("কীভাবে? ইংরেজিতে উত্তর দিন।", "en"), ("Comment ? Répondez en anglais.", "en"), ("The English thread?", None), ("", None)])
 def test_requested_language(question, lang):
     assert pairs.requested(question) == lang
 

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: A branch of a setting, `2: …`, in a table's row after its header's name.
+BRANCH = r"^(?:[^:;]*: )?\s*(\d+)\s*:\s*(.*)"
+# Fixed value: how a note says that a predicate doesn't hold if a switch is set so.
+DENIAL = r"(?i)([^.!?\n]+?)\s+(?:will|does|can)\s+not\s+(.+?)\s+if\s+DIP\s+switch\s+(\d+)\s+is\s+set\s+to\s+(ON|OFF)\b"
+
 
 def note_definitions(units: DataFrame) -> DataFrame:
     """(manual_id, section_key, number, unit_id, page, extraction_method, text) of units that define a note."""
-    number = F.regexp_extract("text", r"(?i)^\s*\(?NOTE\s+(\d+)\)?(?:\s|:)", 1)
-    return units.select("manual_id", "section_key", number.alias("number"), "unit_id", "page", "extraction_method", "text").where("number <> ''")
+    return units.select("manual_id", "section_key", X.own_note(F.col("text")).alias("number"), "unit_id", "page", "extraction_method", "text").where("number is not null")
 
 
 def note_references(units: DataFrame) -> DataFrame:
-    """(unit_id, manual_id, section_key, page, number) of notes that units refer to, their own left out."""
-    own = F.regexp_extract("text", r"(?i)^\s*\(?NOTE\s+(\d+)\)?(?:\s|:)", 1)
-    return units.select("unit_id", "manual_id", "section_key", "page", F.explode(F.array_except(X.note_numbers(F.col("text")), F.array(own))).alias("number"))
+    """(unit_id, manual_id, section_key, page, number, when_value) of notes that units refer to, their own left out. ``when_value`` is
+    the value of the branch, `2: see NOTE 7`, in whose line a note is referred to, the last one that is."""
+    own = F.coalesce(X.own_note(F.col("text")), F.lit(""))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.named_struct(F.lit("notes"), X.note_numbers(x), F.lit("value"), F.regexp_extract(x, r"^\s*(\d+)\s*:", 1)))
+    u = units.select("unit_id", "manual_id", "section_key", "page", lines.alias("lines"), F.explode(F.array_except(X.note_numbers(F.col("text")), F.array(own))).alias("number"))
+    branch = F.filter("lines", lambda x: F.array_contains(x["notes"], F.col("number")) & (x["value"] != ""))
+    return u.withColumn("b", branch).select(
+        "unit_id", "manual_id", "section_key", "page", "number", F.when(F.size("b") > 0, F.element_at(F.transform("b", lambda x: x["value"]), -1)).alias("when_value"))
 
 
 def unique_target(pairs: DataFrame, owner: list[str]) -> DataFrame:
@@ -40,10 +51,15 @@ def unique_target(pairs: DataFrame, owner: list[str]) -> DataFrame:
 
 
 def note_edges(units: DataFrame) -> DataFrame:
-    """(src, dst, number): a unit and the note it refers to in its section."""
-    d = note_definitions(units).select("manual_id", "section_key", "number", F.col("unit_id").alias("target"), F.col("page").alias("t_page"), F.col("extraction_method").alias("t_method"), F.col("text").alias("t_text"))
-    pairs = note_references(units).join(d, ["manual_id", "section_key", "number"])
-    return unique_target(pairs, ["unit_id", "number"]).where("target <> unit_id").select(F.col("unit_id").alias("src"), F.col("target").alias("dst"), "number")
+    """(src, dst, number, when_value): a unit and the note it refers to, a numbered one of its section or a starred one of its page."""
+    d = note_definitions(units).select("manual_id", F.coalesce("section_key", F.lit("")).alias("section_key"), "number", F.col("unit_id").alias("target"), F.col("page").alias("t_page"), F.col("extraction_method").alias("t_method"), F.col("text").alias("t_text"))
+    # one key serves both: the section of a numbered note, the page of a starred one
+    place = lambda page: F.when(F.col("number").startswith("star:"), F.concat(F.lit("page "), F.col(page).cast("string"))).otherwise(F.concat(F.lit("section "), F.col("section_key")))
+    refs = note_references(units).where("section_key is not null or number like 'star:%'").withColumn("section_key", F.coalesce("section_key", F.lit("")))
+    pairs = refs.withColumn("place", place("page")).drop("section_key").join(d.withColumn("place", place("t_page")).drop("section_key"), ["manual_id", "place", "number"])
+    found = unique_target(pairs, ["unit_id", "number"]).where("target <> unit_id")
+    when = refs.groupBy("unit_id", "number").agg(F.max("when_value").alias("when_value"))
+    return found.join(when, ["unit_id", "number"]).select(F.col("unit_id").alias("src"), F.col("target").alias("dst"), "number", "when_value")
 
 
 def unresolved_notes(units: DataFrame) -> DataFrame:
@@ -53,33 +69,73 @@ def unresolved_notes(units: DataFrame) -> DataFrame:
 
 
 def settings(units: DataFrame) -> DataFrame:
-    """(manual_id, section_key, setting_id, …) of table rows that define a function's setting."""
-    number = F.regexp_extract("text", r"(?i)^No\.:\s*(\d+)\b.*setting\s+(?:range|details)", 1)
-    return units.where("kind = 'table'").select("manual_id", "section_key", F.concat(F.lit("function:"), number).alias("setting_id"), F.col("unit_id").alias("target"), F.col("page").alias("t_page"), F.col("extraction_method").alias("t_method"), F.col("text").alias("t_text")).where("setting_id <> 'function:'")
+    """(manual_id, section_key, setting_id, state, …) of table rows that define a function's setting or a switch's state."""
+    number = F.when(F.col("text").rlike(r"(?i)setting\s+(?:range|details)[^:;]*:"), F.regexp_extract("text", r"(?i)(?:^|; )(?:Function\s*)?No\.?\s*:\s*(\d+)\b", 1)).otherwise("")
+    switch, state = F.regexp_extract("text", r"(?:^|; )DIP switch: ?(\d+)\s*(?:;|$)", 1), F.regexp_extract("text", r"(?:^|; )State: ?(ON|OFF)(?:;|$)", 1)
+    setting = F.when((switch != "") & (state != ""), F.concat(F.lit("dip:"), switch)).when(number != "", F.concat(F.lit("function:"), number))
+    return units.where("kind = 'table'").select("manual_id", "section_key", setting.alias("setting_id"), F.when(state != "", state).alias("state"), F.col("unit_id").alias("target"), F.col("page").alias("t_page"), F.col("extraction_method").alias("t_method"), F.col("text").alias("t_text")).where("setting_id is not null")
 
 
 def requirement_edges(units: DataFrame) -> DataFrame:
-    """(src, dst, setting_id, required_value, tier): a unit and the setting it requires, that of its section, or else of its manual."""
+    """(src, dst, setting_id, required_value, tier): a unit and the setting it requires, that of its section, or else of its manual; a
+    switch's row must have the required state."""
     need = units.select("unit_id", "manual_id", "section_key", "page", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "manual_id", "section_key", "page", "r.setting_id", "r.value")
     s = settings(units)
+    fits = ~F.col("setting_id").startswith("dip:") | (F.col("state") == F.col("value"))
     near = need.join(s, ["manual_id", "section_key", "setting_id"])
     far = need.join(near.select("unit_id", "setting_id").distinct(), ["unit_id", "setting_id"], "left_anti").join(s.drop("section_key"), ["manual_id", "setting_id"])
     columns = ["unit_id", "setting_id", "value", "page", "target", "t_page", "t_method", "t_text"]
-    pairs = near.select(*columns, F.lit("section").alias("tier")).unionByName(far.select(*columns, F.lit("manual").alias("tier")))
+    pairs = near.where(fits).select(*columns, F.lit("section").alias("tier")).unionByName(far.where(fits).select(*columns, F.lit("manual").alias("tier")))
     return unique_target(pairs, ["unit_id", "setting_id", "value", "tier"]).where("target <> unit_id").select(F.col("unit_id").alias("src"), F.col("target").alias("dst"), "setting_id", F.col("value").alias("required_value"), "tier")
 
 
-def warning_edges(units: DataFrame, first_pages: int = 4) -> DataFrame:
-    """(src, dst): a unit that is worked by and the warnings of its page and of its manual's first pages.
+def _bare_words(text: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.transform(words, lambda w: F.when(w.endswith("s") & (F.length(w) > 3), F.substring(w, 1, F.length(w) - 1)).otherwise(w))
 
-    Both joins are by key, manual and page or manual alone; a manual's first pages hold few units however long it is.
-    """
+
+def setting_exclusions(units: DataFrame) -> DataFrame:
+    """(unit_id, when_value, setting_id, value): branches of a function's setting that a switch rules out, as the note that the
+    setting refers to says of the same short predicate that it does not hold if the switch is set so."""
+    part = lambda k: F.regexp_extract("t_text", DENIAL, k)
+    own = settings(units).where("setting_id like 'function:%'").select(F.col("target").alias("src"), "t_text").withColumnRenamed("t_text", "text")
+    notes = units.select(F.col("unit_id").alias("dst"), F.col("text").alias("t_text")).where(F.col("t_text").rlike(r"(?i)if\s+DIP\s+switch"))
+    pairs = note_edges(units).join(own, "src").join(notes, "dst").withColumn("switch", part(3)).where("switch <> ''")
+    predicate = _bare_words(F.concat(F.regexp_replace(part(1), r"^.*?\)\s*", ""), F.lit(" "), part(2)))
+    branch = F.transform(F.split("text", "\n|; "), lambda x: F.named_struct(F.lit("value"), F.regexp_extract(x, BRANCH, 1), F.lit("words"), _bare_words(F.regexp_replace(F.regexp_extract(x, BRANCH, 2), r"\(.*", ""))))
+    pairs = pairs.select("src", "switch", part(4).alias("state"), predicate.alias("predicate"), F.explode(branch).alias("b")).where("b.value <> '' and b.words = predicate")
+    return pairs.select(F.col("src").alias("unit_id"), F.col("b.value").alias("when_value"), F.concat(F.lit("dip:"), "switch").alias("setting_id"), F.upper("state").alias("value")).distinct()
+
+
+def _works(units: DataFrame) -> DataFrame:
     works = (F.col("kind").isin("procedure", "table")) | F.col("text").rlike(r"(?i)\b(adjust|remove|install|disconnect|tighten|loosen|lubricate)\b")
-    owner = units.where(works).select("manual_id", "page", F.col("unit_id").alias("src"))
-    warning = units.where(F.col("text").rlike("WARNING|CAUTION|DANGER")).select("manual_id", "page", F.col("unit_id").alias("dst"))
-    general = owner.join(warning.where(F.col("page") <= first_pages).drop("page"), "manual_id")
-    same = owner.join(warning.where(F.col("page") > first_pages), ["manual_id", "page"])
-    return general.select("src", "dst").unionByName(same.select("src", "dst")).where("src <> dst").distinct()
+    return units.where(works).select("manual_id", "page", F.col("unit_id").alias("src"))
+
+
+def _warnings(units: DataFrame) -> DataFrame:
+    return units.where(F.col("text").rlike("WARNING|CAUTION|DANGER")).select("manual_id", "page", F.col("unit_id").alias("dst"))
+
+
+def warnings_of(units: DataFrame, first_pages: int = 4) -> DataFrame:
+    """(src, warnings, first): a unit that is worked by, the number of warnings of its page and of its manual's first pages, itself
+    aside, and the least of these.
+
+    Warnings are counted by manual and page before the join, so no pair is built. Of each group the two least ids go along, as a
+    unit's own one doesn't count.
+    """
+    owner, warning = _works(units).distinct(), _warnings(units).distinct()
+
+    def counted(w: DataFrame, key: list[str], name: str) -> DataFrame:
+        least = w.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("dst"))).where("n <= 2").groupBy(*key).agg(F.array_sort(F.collect_list("dst")).alias(f"{name}_two"))
+        return w.groupBy(*key).agg(F.count("*").alias(f"{name}_n")).join(least, key)
+
+    general = counted(warning.where(F.col("page") <= first_pages).drop("page").distinct(), ["manual_id"], "g")
+    same = counted(warning.where(F.col("page") > first_pages), ["manual_id", "page"], "p")
+    own = warning.select(F.col("dst").alias("src")).distinct().withColumn("own", F.lit(1))
+    found = owner.join(general, "manual_id", "left").join(same, ["manual_id", "page"], "left").join(own, "src", "left")
+    others = F.filter(F.concat(F.coalesce("g_two", F.array_remove(F.array("src"), F.col("src"))), F.coalesce("p_two", F.array_remove(F.array("src"), F.col("src")))), lambda x: x != F.col("src"))
+    count = F.coalesce("g_n", F.lit(0)) + F.coalesce("p_n", F.lit(0)) - F.when((F.col("own") == 1) & (F.col("page") <= first_pages) | (F.col("own") == 1) & F.col("p_n").isNotNull(), 1).otherwise(0)
+    return found.select("src", count.alias("warnings"), F.array_min(others).alias("first")).where("warnings > 0")
 
 
 def page_reference_edges(units: DataFrame) -> DataFrame:
@@ -98,11 +154,39 @@ def _excludes(text: Column) -> Column:
     return text.rlike(r"(?i)not\s+(necessary|required|applicable|available)|does\s+not\s+apply") & text.rlike(r"(?i)sub[- ]?class")
 
 
-def applicability_edges(units: DataFrame) -> DataFrame:
-    """(src, dst): every unit that is no exception and the exceptions of its section."""
+def exceptions_of(units: DataFrame) -> DataFrame:
+    """(src, exceptions, last): every unit that is no exception, the number of its section's exceptions and the greatest of these.
+    Exceptions are counted by section before the join."""
     flagged = units.withColumn("exception", _excludes(F.col("text")))
-    rule = flagged.where("exception").select("manual_id", "section_key", F.col("unit_id").alias("dst"))
-    return flagged.where("not exception").select("manual_id", "section_key", F.col("unit_id").alias("src")).join(rule, ["manual_id", "section_key"]).select("src", "dst")
+    rule = flagged.where("exception").groupBy("manual_id", "section_key").agg(F.count("*").alias("exceptions"), F.max("unit_id").alias("last"))
+    return flagged.where("not exception").select("manual_id", "section_key", F.col("unit_id").alias("src")).join(rule, ["manual_id", "section_key"]).select("src", "exceptions", "last")
+
+
+def hub_edges(units: DataFrame, first_pages: int = 4) -> DataFrame:
+    """(src, dst): what goes along with many units of a place, by way of the place: a unit that is worked by leads to the hubs of its
+    manual and page, and these to their warnings; a unit leads to the hub of its section, and that to its exceptions; a procedure
+    leads to its section's hub of plain notes (`NOTE: …` without a number). Units and evidence are added up, not multiplied.
+    Hubs begin with `hub:`."""
+    hub = lambda kind, *key: F.concat_ws("\u001f", F.lit(f"hub:{kind}"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]).alias("hub")
+    w = _warnings(units)
+    general, paged = hub("manual", "manual_id"), hub("page", "manual_id", "page")
+    flagged = units.withColumn("exception", F.coalesce(_excludes(F.col("text")), F.lit(False)))
+    scope, noted = hub("section", "manual_id", "section_key"), hub("notes", "manual_id", "section_key")
+    plain = units.where(F.col("text").rlike(r"(?i)\bNOTE\s*:") & X.own_note(F.col("text")).isNull())
+    out = [_works(units).select("src", F.explode(F.array(general, paged)).alias("dst")), flagged.where("not exception").select(F.col("unit_id").alias("src"), scope.alias("dst")), units.where("kind = 'procedure'").select(F.col("unit_id").alias("src"), noted.alias("dst"))]
+    into = [w.where(F.col("page") <= first_pages).select(general.alias("src"), "dst"), w.where(F.col("page") > first_pages).select(paged.alias("src"), "dst"), flagged.where("exception").select(scope.alias("src"), F.col("unit_id").alias("dst")), plain.select(noted.alias("src"), F.col("unit_id").alias("dst"))]
+    reached = reduce(DataFrame.unionByName, into).distinct()
+    # a hub that leads nowhere isn't gone to
+    return reduce(DataFrame.unionByName, out).distinct().join(reached.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").unionByName(reached)
+
+
+def plain_notes_of(units: DataFrame) -> DataFrame:
+    """(src, notes): procedures with the number of plain notes, `NOTE: …` without a number, that hold for their section."""
+    plain = units.where(F.col("text").rlike(r"(?i)\bNOTE\s*:") & X.own_note(F.col("text")).isNull())
+    n = plain.groupBy("manual_id", "section_key").agg(F.count("*").alias("notes"))
+    own = plain.select(F.col("unit_id").alias("src"), F.lit(1).alias("own")).distinct()
+    found = units.where("kind = 'procedure'").select("manual_id", "section_key", F.col("unit_id").alias("src")).join(n, ["manual_id", "section_key"]).join(own, "src", "left")
+    return found.select("src", (F.col("notes") - F.coalesce("own", F.lit(0))).alias("notes")).where("notes > 0")
 
 
 def applicability(units: DataFrame, subclass: str) -> DataFrame:

@@ -44,7 +44,7 @@ def requirement_edges(spark, folder, units=_units):
 
 
 def warning_edges(spark, folder, units=_units):
-    return L.warning_edges(units(spark, folder)).groupBy("src").agg(F.count("*").alias("warnings"), F.min("dst").alias("first"))
+    return L.warnings_of(units(spark, folder))
 
 
 def page_reference_edges(spark, folder, units=_units):
@@ -56,7 +56,7 @@ def unresolved_page_refs(spark, folder, units=_units):
 
 
 def applicability_edges(spark, folder, units=_units):
-    return L.applicability_edges(units(spark, folder)).groupBy("src").agg(F.count("*").alias("exceptions"), F.max("dst").alias("last"))
+    return L.exceptions_of(units(spark, folder))
 
 
 def applicability_status(spark, folder, units=_units):
@@ -138,15 +138,16 @@ def claim_violations(spark, folder, units=_units):
 
 
 def _given_closure(spark, folder):
-    """Closure of every given unit over all mandatory edges that linking finds; pages referred to are followed from the unit itself
-    only, not from its context."""
+    """Closure of every given unit over all mandatory edges that linking finds, by way of hubs; pages referred to are followed from
+    the unit itself only, not from its context."""
     u = materialise(given_units(spark, folder), "units")
     none = F.lit(None).cast("string")
-    bare = L.note_edges(u).select("src", "dst").unionByName(L.warning_edges(u)).unionByName(L.applicability_edges(u)).select("src", "dst", none.alias("required_value"), none.alias("when_value"))
-    edges = L.requirement_edges(u).select("src", "dst", "required_value", none.alias("when_value")).unionByName(bare)
+    edges = L.requirement_edges(u).select("src", "dst", "required_value", none.alias("when_value"))
+    edges = edges.unionByName(L.note_edges(u).select("src", "dst", none.alias("required_value"), "when_value")).unionByName(L.hub_edges(u).select("src", "dst", none.alias("required_value"), none.alias("when_value")))
     own = u.select(F.col("unit_id").alias("query_id"), F.col("unit_id").alias("node"))
     pages = L.page_reference_edges(u).select(F.col("src").alias("query_id"), F.col("dst").alias("node"))
-    return C.evidence_closure(materialise(edges.distinct(), "edges"), own.unionByName(pages).withColumn("required_value", none))
+    found = C.evidence_closure(materialise(edges.distinct(), "edges"), own.unionByName(pages).withColumn("required_value", none))
+    return found.where(~F.col("node").startswith("hub:"))
 
 
 def given_conditional_closure(spark, folder):
@@ -180,7 +181,7 @@ def _unique(owner: str, pairs: str) -> str:
       p3 AS (SELECT {owner}, CASE WHEN count(*) = 1 THEN max(target) WHEN count(*) FILTER (t_page = page) = 1 THEN max(target) FILTER (t_page = page) END AS target FROM p2 GROUP BY {owner})"""
 
 
-_NOTE = f"{_U}, {_DEF}, " + _unique("unit_id, number", "SELECT r.unit_id, r.number, r.page, d.unit_id AS target, d.page AS t_page, d.extraction_method AS t_method, d.text AS t_text FROM r JOIN d ON d.manual_id = r.manual_id AND d.section_key = r.section_key AND d.own = r.number") + ", ne AS (SELECT unit_id AS src, target AS dst, number FROM p3 WHERE target IS NOT NULL AND target <> unit_id)"
+_NOTE = f"{_U}, {_DEF}, " + _unique("unit_id, number", "SELECT r.unit_id, r.number, r.page, d.unit_id AS target, d.page AS t_page, d.extraction_method AS t_method, d.text AS t_text FROM r JOIN d ON d.manual_id = r.manual_id AND d.section_key = r.section_key AND d.own = r.number") + ", ne AS (SELECT unit_id AS src, target AS dst, number, CAST(NULL AS VARCHAR) AS when_value FROM p3 WHERE target IS NOT NULL AND target <> unit_id)"
 _REQ = """q AS (SELECT unit_id, manual_id, section_key, page, concat('function:', regexp_extract(text, 'Function No. (\\d+) is set to "(\\d)"', 1)) AS setting_id, regexp_extract(text, 'is set to "(\\d)"', 1) AS value FROM u WHERE unit_id % 4 = 0)"""
 _TIER = f"""{_U}, {_REQ}, s AS (SELECT manual_id, section_key, concat('function:', regexp_extract(text, '^No.: (\\d+)', 1)) AS setting_id, unit_id AS target, page AS t_page, extraction_method AS t_method, text AS t_text FROM u WHERE kind = 'table'),
   near AS (SELECT q.unit_id, q.setting_id, q.value, q.page, target, t_page, t_method, t_text, 'section' AS tier FROM q JOIN s USING (manual_id, section_key, setting_id)),
@@ -192,7 +193,7 @@ _CLOSURE = f"""WITH RECURSIVE e AS ({EDGES}), c AS (SELECT o_orderkey AS query_i
 
 ORACLE = {
     "manual_units": f"WITH {_U} SELECT unit_id, manual_id, page, section_key, kind FROM u",
-    "note_refs": f"WITH {_U}, {_DEF} SELECT * FROM r",
+    "note_refs": f"WITH {_U}, {_DEF} SELECT *, CAST(NULL AS VARCHAR) AS when_value FROM r",
     "note_edges": f"WITH {_NOTE} SELECT * FROM ne",
     "unresolved_notes": f"WITH {_NOTE} SELECT DISTINCT unit_id, number FROM r WHERE (unit_id, number) NOT IN (SELECT (src, number) FROM ne)",
     "setting_requirements": f"WITH {_U}, {_REQ} SELECT unit_id, setting_id, value FROM q",

@@ -29,9 +29,12 @@ def build(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary folder only where none is set, as in tests."""
+    """The cluster's shared folder, which spark.checkpoint.dir names. Where none is set a local session takes a temporary folder, as
+    in tests; a cluster's executors share no such folder, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

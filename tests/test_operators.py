@@ -96,10 +96,51 @@ def test_linking(spark):
     assert {(r.src, r.dst, r.number) for r in L.note_edges(u).collect()} == {("t", "n1", "2")}
     assert {(r.unit_id, r.number) for r in L.unresolved_notes(u).collect()} == {("p", "4")}
     assert {(r.src, r.dst, r.required_value, r.tier) for r in L.requirement_edges(u).collect()} == {("p", "t", "1", "section"), ("q", "t", "2", "manual")}
-    assert {(r.src, r.dst) for r in L.warning_edges(u).collect()} == {("t", "w"), ("p", "w"), ("q", "w")}
+    assert {tuple(r) for r in L.warnings_of(u).select("src", "warnings", "first").collect()} == {("t", 1, "w"), ("p", 1, "w"), ("q", 1, "w")}
     assert {(r.src, r.dst) for r in L.page_reference_edges(u).collect()} == {("p", "n2"), ("p", "q")} and {(r.src, r.label) for r in L.unresolved_pages(u).collect()} == {("p", "77")}
     assert {r.unit_id: r.status for r in L.applicability(u, "-45B").collect() if r.unit_id in ("x", "p")} == {"x": "excluded", "p": "not_established"}
-    assert ("p", "x") in {(r.src, r.dst) for r in L.applicability_edges(u).collect()} and L.note_edges(u.limit(0)).count() == 0
+    assert ("p", 1, "x") in {(r.src, r.exceptions, r.last) for r in L.exceptions_of(u).collect()} and L.note_edges(u.limit(0)).count() == 0
+
+
+def test_branches_stars_and_switches(spark):
+    u = _units(spark, [
+        ("s", "m", 2, "1", "table", "text", "Function No.: 47; Setting range: 0-2; Use: see NOTE 7\n1: see NOTE 8\n2: presser foot drops, see NOTE 8"), ("a", "m", 3, "1", "information", "text", "(NOTE 7) Presser foot will not drop if DIP switch 4 is set to OFF."),
+        ("b", "m", 3, "1", "information", "text", "(NOTE 8) Only then."), ("star", "m", 2, "9", "information", "text", "* 3 Keep the oil clean."), ("ref", "m", 2, "1", "information", "text", "Fill it *3 and move it * 5 mm."),
+        ("on", "m", 4, "2", "table", "text", "DIP switch: 4; Description: x; State: ON"), ("off", "m", 4, "2", "table", "text", "DIP switch: 4; Description: x; State: OFF"), ("need", "m", 8, "3", "procedure", "text", "DIP switch 4 must be turned on."),
+        ("plain", "m", 8, "3", "information", "text", "NOTE: hold the wheel."), ("no", "m", 8, "3", "information", "text", "It is disabled when Function No. 47 is set to 1.")])
+    assert {tuple(r) for r in L.note_edges(u).select("src", "dst", "number", "when_value").collect()} == {("s", "a", "7", None), ("s", "b", "8", "2"), ("ref", "star", "star:3", None)}
+    assert {(r.src, r.dst, r.required_value) for r in L.requirement_edges(u).collect()} == {("need", "on", "ON")}
+    assert {tuple(r) for r in L.setting_exclusions(u.replace("2: presser foot drops, see NOTE 8", "x", "text")).collect()} == set()
+    v = u.withColumn("text", F.when(F.col("unit_id") == "s", "Function No.: 47; Setting range: 0-2; Use: see NOTE 7\n1: Presser foot drop (slowly)").otherwise(F.col("text")))
+    assert {tuple(r) for r in L.setting_exclusions(v).select("unit_id", "when_value", "setting_id", "value").collect()} == {("s", "1", "dip:4", "OFF")}
+    assert {tuple(r) for r in L.plain_notes_of(u).collect()} == {("need", 1)}
+
+
+def test_hubs_reach_what_edges_reach(spark):
+    r = random.Random(4)
+    texts = ["Tighten it.", "WARNING: hot. Remove it.", "CAUTION", "For sub-class -45[] this is not required.", "NOTE: slowly.", "Plain."]
+    rows = [(f"u{i}", f"m{i % 3}", r.randint(1, 7), str(r.randint(1, 3)), r.choice(["procedure", "information", "table"]), "text", r.choice(texts)) for i in range(80)]
+    u = _units(spark, rows)
+    edges = L.hub_edges(u).select("src", "dst", F.lit(None).cast("string").alias("required_value"), F.lit(None).cast("string").alias("when_value"))
+    seeds = u.select(F.col("unit_id").alias("query_id"), F.col("unit_id").alias("node"), F.lit(None).cast("string").alias("required_value"))
+    got = {(x.query_id, x.node) for x in C.evidence_closure(edges, seeds).collect() if not x.node.startswith("hub:")}
+    works = lambda x: x[4] in ("procedure", "table") or x[6].startswith("Tighten") or "Remove" in x[6]
+    warns, excepts = [x for x in rows if "WARNING" in x[6] or "CAUTION" in x[6]], [x for x in rows if "sub-class" in x[6]]
+    near = {x[0]: {w[0] for w in warns if works(x) and w[1] == x[1] and (w[2] <= 4 or w[2] == x[2])} | {e[0] for e in excepts if x not in excepts and (e[1], e[3]) == (x[1], x[3])}
+            | {n[0] for n in rows if n[6].startswith("NOTE:") and x[4] == "procedure" and (n[1], n[3]) == (x[1], x[3])} for x in rows}
+    want = set()
+    for x in rows:
+        seen, todo = {x[0]}, [x[0]]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        want |= {(x[0], y) for y in seen}
+    assert got == want
+    counts = {x.src: (x.warnings, x.first) for x in L.warnings_of(u).collect()}
+    for x in rows:
+        own = sorted(w[0] for w in warns if works(x) and w[1] == x[1] and (w[2] <= 4 or w[2] == x[2]) and w[0] != x[0])
+        assert counts.get(x[0]) == ((len(own), own[0]) if own else None)
 
 
 def test_closure(spark):
@@ -140,6 +181,9 @@ def test_blocks_and_notes(spark):
     schema = "doc string, page int, x0 double, y0 double, x1 double, y1 double, text string"
     blocks = spark.createDataFrame([("d", 1, 10.0, 10.0, 200.0, 20.0, "Turn the wheel slowly and then"), ("d", 1, 10.0, 25.0, 220.0, 35.0, "stop the machine."), ("d", 1, 10.0, 40.0, 200.0, 50.0, "Next one starts."), ("d", 2, 0.0, 0.0, 9.0, 9.0, None)], schema)
     assert [(r.text, r.x1, r.y1) for r in Y.merged_blocks(blocks).orderBy("y0").collect()] == [("Turn the wheel slowly and then\nstop the machine.", 220.0, 35.0), ("Next one starts.", 200.0, 50.0)]
+    alone = spark.createDataFrame([("d", 1, 10.0, 10.0, 60.0, 20.0, "WARNING"), ("d", 1, 80.0, 22.0, 200.0, 30.0, "Disconnect it"), ("d", 1, 80.0, 33.0, 150.0, 40.0, "1-2 Heading"), ("d", 1, 300.0, 10.0, 400.0, 20.0, "Other column, which goes on and"), ("d", 1, 302.0, 24.0, 400.0, 34.0, "on here.")], schema)
+    assert sorted((r.text, r.x0, r.y1) for r in Y.merged_blocks(alone).collect()) == [("1-2 Heading", 80.0, 40.0), ("Other column, which goes on and\non here.", 300.0, 34.0), ("WARNING\nDisconnect it", 10.0, 30.0)]
+    assert Y.merged_blocks(alone.limit(0)).count() == Y.footer_notes(alone).count() == 0
     lines = spark.createDataFrame([("d", 1, 10.0, 100.0, 200.0, 110.0, "(NOTE 1) First part"), ("d", 1, 20.0, 113.0, 200.0, 123.0, "goes on"), ("d", 1, 10.0, 125.0, 200.0, 135.0, "(NOTE 2) Second"), ("d", 1, 10.0, 160.0, 200.0, 170.0, "far away")], schema)
     assert [(r.text, r.y1) for r in Y.footer_notes(lines).orderBy("y0").collect()] == [("(NOTE 1) First part\ngoes on", 123.0), ("(NOTE 2) Second", 135.0)]
 

@@ -47,8 +47,35 @@ def test_replace_and_csv(spark, tmp_path):
     stores.replace_by_key(spark.createDataFrame([("b", 3)], "k string, v int"), path, "k")
     assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3)}
     stores.guarded_csv(spark.createDataFrame([("=1", 'say "x"')], "a string, b string"), str(tmp_path / "c"))
-    text = open(glob.glob(str(tmp_path / "c" / "*.csv"))[0], encoding="utf-8").read()
-    assert text.startswith("\ufeffa,b\n\'=1,")
+    read = lambda: "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(str(tmp_path / "c" / "part-*"))))
+    assert read() == '\ufeffa,b\n\'=1,"say ""x"""\n'
+    stores.guarded_csv(spark.createDataFrame([("@x", i) for i in range(9)], "a string, b int").repartition(3), str(tmp_path / "c"))
+    assert read().count("\ufeff") == read().count("a,b") == 1 and read().count("'@x,") == 9
+
+
+def test_a_failed_publication_leaves_the_old_release(spark, tmp_path, monkeypatch):
+    rows, root = spark.createDataFrame([(1, "a"), (2, None)], "i int, t string"), str(tmp_path / "store")
+    first = stores.publish(rows, root)
+    with monkeypatch.context() as m:
+        m.setattr(stores, "_point", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            stores.publish(rows.where("i = 1"), root)
+    assert stores.current_release(spark, root) == first
+    second = stores.publish(rows.where("i = 1"), root)
+    assert stores.current_release(spark, root) == second != first
+    assert stores.rolled_back(spark, root, first["release"]) == first == stores.current_release(spark, root)
+    with pytest.raises(ValueError):
+        stores.rolled_back(spark, root, "r-0")
+
+
+def test_latest_rows_of_many_batches(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for i in range(5):
+        spark.createDataFrame([("a", i), (f"k{i}", 0)], "k string, at int").coalesce(1).write.mode("append").parquet(src)
+    feed = feeds.stream(spark, src, 1)
+    feeds.logged(spark, feed, ["k"], "at", str(tmp_path / "log"), 2)
+    got = feeds.latest(feeds._log(spark, str(tmp_path / "log"), feed.schema), ["k"], "at")
+    assert {(r.k, r.at) for r in got.collect()} == {("a", 4), *((f"k{i}", 0) for i in range(5))} and len(os.listdir(tmp_path / "log" / "base")) == 2
 
 
 def test_feed_is_appended_once(spark, tmp_path):

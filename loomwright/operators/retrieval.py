@@ -19,13 +19,14 @@ BLOCK = 2048
 
 
 def term_counts(documents: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
-    """(doc_id, …, term, tf, len): a row for each term of each document. Counted within each row, so nothing is shuffled.
-
-    Null and empty texts have no terms.
+    """(doc_id, …, term, tf, len): a row for each term of each document. Counted within each row, by the runs of its sorted terms,
+    so nothing is shuffled. Null and empty texts have no terms.
     """
-    t = documents.select(F.col(doc_id).alias("doc_id"), *keep, tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    t = t.select("doc_id", *keep, "t", F.explode(F.array_distinct("t")).alias("term"))
-    return t.select("doc_id", *keep, "term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("tf"), F.size("t").alias("len"))
+    t = documents.select(F.col(doc_id).alias("doc_id"), *keep, F.array_sort(tokens(F.col(text))).alias("t"))
+    begins = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    t = t.select("doc_id", *keep, "t", F.when(F.size("t") > 0, begins).alias("b"))
+    run = F.transform("b", lambda at, i: F.named_struct(F.lit("term"), F.element_at("t", at), F.lit("tf"), F.coalesce(F.get("b", i + 1), F.size("t") + 1) - at))
+    return t.select("doc_id", *keep, F.explode(run).alias("r"), F.size("t").alias("len")).select("doc_id", *keep, "r.term", "r.tf", "len")
 
 
 def term_stats(counts: DataFrame, *scope: str) -> DataFrame:
@@ -39,6 +40,23 @@ def corpus_stats(documents: DataFrame, text: str, *scope: str) -> DataFrame:
     return documents.groupBy(*scope).agg(F.count("*").alias("n"), F.avg(F.greatest(length, F.lit(0))).alias("avg_len"))
 
 
+def _weighed(documents: DataFrame, queries: DataFrame, doc_id: str, text: str, scope: str | None) -> tuple[DataFrame, DataFrame]:
+    """(postings with the gain of each, asked terms with df and idf). Documents are tokenised once, into a table of the shared folder."""
+    keys = [scope] if scope else []
+    postings = materialise(term_counts(documents, doc_id, text, *keys), "postings")
+    asked = queries.select("query_id", *keys, F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+    n = documents.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = postings.groupBy(*keys).agg(F.sum("tf").alias("terms"))
+    total = (n.join(total, keys) if keys else n.crossJoin(total)).select(*keys, "n", (F.col("terms") / F.col("n")).alias("avg_len"))
+    wanted = postings.join(asked.select(*keys, "term").distinct(), [*keys, "term"], "left_semi")
+    # without a scope the statistics are one row, which goes to every task
+    with_total = lambda df: df.join(total, keys) if keys else df.crossJoin(F.broadcast(total))
+    df = with_total(wanted.groupBy(*keys, "term").agg(F.count("*").alias("df")))
+    terms = df.select(*keys, "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return with_total(wanted).select(*keys, "term", "doc_id", gain.alias("gain")), asked.join(terms, [*keys, "term"])
+
+
 def bm25(documents: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a query.
 
@@ -47,15 +65,38 @@ def bm25(documents: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text:
     further; scores add up in two steps, so frequent terms are combined within tasks.
     """
     keys = [scope] if scope else []
-    asked = queries.select("query_id", *keys, F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    wanted = asked.select(*keys, "term").distinct()
-    postings = term_counts(documents, doc_id, text, *keys).join(wanted, [*keys, "term"], "left_semi")
-    df = term_stats(postings, *keys)
-    total = corpus_stats(documents, text, *keys)
-    weights = (df.join(total, keys) if keys else df.crossJoin(F.broadcast(total))).select(*keys, "term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = asked.join(weights, [*keys, "term"]).join(postings, [*keys, "term"])
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))
+    postings, asked = _weighed(documents, queries, doc_id, text, scope)
+    hit = asked.join(postings, [*keys, "term"])
+    return hit.groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
+
+
+def bm25_top(documents: DataFrame, queries: DataFrame, k: int = POOL, doc_id: str = "doc_id", text: str = "text", scope: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the first ``k`` of bm25() by score, rounded to six places, and doc_id; exact.
+
+    A query's rarer half of terms is scored first; the k-th of these partial scores is a bound that its first k reach. The most
+    frequent terms whose highest gains together stay below the bound can't bring a document among these by themselves: only
+    documents with one of the other terms are scored, and the frequent terms looked up for them alone. So a term that a third of
+    all documents have is not joined with every query that asks for it, where a rarer term decides.
+    """
+    keys = [scope] if scope else []
+    postings, asked = _weighed(documents, queries, doc_id, text, scope)
+    postings = materialise(postings, "gains")
+    most = postings.groupBy(*keys, "term").agg(F.max("gain").alias("most"))
+    by_df = Window.partitionBy("query_id").orderBy("df", "term")
+    asked = asked.join(most, [*keys, "term"]).withColumn("place", F.row_number().over(by_df)).withColumn("of", F.count("*").over(Window.partitionBy("query_id")))
+    asked = asked.withColumn("highest", F.sum(F.col("idf") * F.col("most")).over(Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("term"))))
+    asked = materialise(asked, "asked")
+    score = F.sum(F.col("idf") * F.col("gain")).alias("score")
+    rare = asked.where(F.col("place") <= F.ceil(F.col("of") / 2)).join(postings, [*keys, "term"]).groupBy("query_id", "doc_id").agg(score)
+    bound = rare.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", F.col("score").alias("bound"))
+    # rounding can't lift a document over another by more than a millionth
+    asked = materialise(asked.join(bound, "query_id", "left").withColumn("frequent", F.coalesce(F.col("highest") < F.col("bound") - 2e-6, F.lit(False))), "asked")
+    first = asked.where("not frequent").join(postings, [*keys, "term"]).groupBy("query_id", "doc_id").agg(score)
+    first = materialise(first, "essential")
+    # a frequent term can still decide among the documents found
+    more = first.select("query_id", "doc_id").join(asked.where("frequent").select("query_id", *keys, "term", "idf"), "query_id").join(postings, [*keys, "term", "doc_id"])
+    whole = first.unionByName(more.select("query_id", "doc_id", (F.col("idf") * F.col("gain")).alias("score"))).groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return top(whole, F.col("score"), k)
 
 
 def top(scored: DataFrame, by: Column, k: int, rank: str = "rank", key: str = "query_id") -> DataFrame:

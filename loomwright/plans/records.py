@@ -213,7 +213,9 @@ _SRC = f"""q AS (SELECT DISTINCT id, status, sources_json FROM queries), s AS (S
   e AS (SELECT id, status, unnest(a) AS s, generate_subscripts(a, 1) - 1 AS rank FROM s)"""
 _GUARD = "CASE WHEN regexp_matches({0}, '^ *[=+\\-@]') THEN concat('''', {0}) ELSE {0} END AS {0}"
 _DIGITS = "translate({0}, '" + "".join(chr(ord(z) + i) for z in X.DIGIT_ZEROS for i in range(10)) + "', '" + "0123456789" * len(X.DIGIT_ZEROS) + "')"
-_MODELS = "list_distinct(list_filter(regexp_extract_all(concat(' ', replace(upper({0}), ' ', '  ')), '[^A-Z0-9-]([A-Z]{{1,3}}-\\d{{3,4}}(?:[A-Z]|-\\d)?)(?:[^A-Z0-9-]|$)', 1), lambda m: NOT regexp_matches(m, '^(ISO|IEC|DIN|CN)-')))"
+_PLAIN = "regexp_replace(regexp_replace(" + _DIGITS + ", '([A-Za-z0-9])[‐‑‒–—−]([A-Za-z0-9])', '\\1-\\2', 'g'), '([A-Za-z0-9])[‐‑‒–—−]([A-Za-z0-9])', '\\1-\\2', 'g')"
+_MODELS = ("list_distinct(list_transform(list_filter(regexp_extract_all(concat(' ', replace(upper(" + _PLAIN + "), ' ', '  ')), '(?:^|[^A-Z0-9])([A-Z]{{1,6}}(?:-|  )?\\d{{3,5}}[A-Z]{{0,3}}(?:-[A-Z0-9]{{1,5}})?)(?:[^A-Z0-9]|$)', 1), "
+           f"lambda m: NOT regexp_matches(m, '^(?:{'|'.join(X.STANDARDS)})(?:-|  )?\\d|^(?:{'|'.join(X.QUANTITY_WORDS)})  ')), lambda m: regexp_replace(m, '[- ]', '', 'g')))")
 _H = "sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(text, chr(0))))"
 
 ORACLE = {
@@ -238,7 +240,7 @@ ORACLE = {
     "uncited_chunks": f"WITH {_SRC} SELECT manual_id, count(DISTINCT id) AS uncited FROM chunks WHERE id NOT IN (SELECT s.id FROM e WHERE s.id IS NOT NULL) GROUP BY manual_id",
     "cascade_delete": f"WITH {_SRC}, g AS (SELECT id FROM manuals WHERE status = 'retired') SELECT DISTINCT id FROM queries WHERE id NOT IN (SELECT id FROM e WHERE s.manual_id IN (FROM g) OR string_split(s.id, ':')[1] IN (FROM g))",
     "timing_summary": "WITH t AS (SELECT DISTINCT id, retrieval_release, timings_json FROM queries) SELECT retrieval_release, count(*) AS n, count(json_extract(timings_json, '$.total_seconds')) AS timed, round(median(CAST(json_extract(timings_json, '$.total_seconds') AS DOUBLE)), 6) AS median_seconds, round(avg(CAST(json_extract(timings_json, '$.retrieval_seconds') AS DOUBLE)), 6) AS mean_retrieval FROM t GROUP BY ALL",
-    "status_by_release": "WITH q AS (SELECT DISTINCT id, retrieval_release, lower(trim(status)) AS status FROM queries) SELECT retrieval_release, " + ", ".join(f"count(*) FILTER (status = '{c}') AS {c}" for c in ("answered", "clarify", "no_evidence", "refused")) + " FROM q GROUP BY ALL",
+    "status_by_release": "WITH q AS (SELECT DISTINCT id, retrieval_release, lower(trim(status)) AS status FROM queries) SELECT retrieval_release, " + ", ".join(f"count(*) FILTER (status = '{c}') AS {c}" for c in STATUSES) + ", count(*) FILTER (status IS NULL) AS missing, count(*) FILTER (status NOT IN ('" + "', '".join(STATUSES) + "')) AS other FROM q GROUP BY ALL",
     "previous_question": "WITH q AS (SELECT DISTINCT id, trial_id, created_at FROM queries WHERE trial_id IS NOT NULL) SELECT id, trial_id, lag(id) OVER (PARTITION BY trial_id ORDER BY created_at NULLS FIRST, id) AS previous_id FROM q",
     "normalized_questions": "WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL), n AS (SELECT id, " + _DIGITS.format("nfc_normalize(question)") + " AS t FROM q) SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([A-Za-z0-9])[‐‑‒–—−]([A-Za-z0-9])', '\\1-\\2', 'g'), '([A-Za-z0-9])[‐‑‒–—−]([A-Za-z0-9])', '\\1-\\2', 'g'), '([A-Za-z0-9])[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]([A-Za-z0-9])', '\\1\\2', 'g'), '([A-Za-z0-9])[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]([A-Za-z0-9])', '\\1\\2', 'g') AS normalized FROM n",
     "question_flags": """WITH q AS (SELECT DISTINCT id, question AS q FROM queries WHERE question IS NOT NULL) SELECT id,

@@ -1,4 +1,4 @@
-"""Search queries: documents are the corpus, and every tenth document's title asks it (the stated query set: ids divisible by 20)."""
+"""Search queries: documents are the corpus, and every twentieth document's title asks it (the stated query set: ids divisible by 20)."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from ..functions import vectors as V
 from ..functions.text import STOPWORDS, tokens
 from ..operators import retrieval as R
 from ..operators.terms import merged_intents
-from ..tables import table
+from ..tables import spread, table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "text", "source", "title")
+    return spread(table(spark, folder, "documents", "doc_id", "text", "source", "title"))
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,16 +32,12 @@ def corpus_stats(spark, folder):
     return R.corpus_stats(_docs(spark, folder), "text", "source").select("source", "n", F.round("avg_len", 6).alias("avg_len"))
 
 
-def _ranked_lexical(scored: DataFrame) -> DataFrame:
-    return R.top(scored.withColumn("score", F.round("score", 6)), F.col("score"), R.POOL)
-
-
 def bm25_topk(spark, folder):
-    return _ranked_lexical(R.bm25(_docs(spark, folder), _asked(spark, folder)))
+    return R.bm25_top(_docs(spark, folder), _asked(spark, folder))
 
 
 def bm25_scoped_topk(spark, folder):
-    return _ranked_lexical(R.bm25(_docs(spark, folder), _asked(spark, folder), scope="source"))
+    return R.bm25_top(_docs(spark, folder), _asked(spark, folder), scope="source")
 
 
 def _vectors(spark, folder):
@@ -91,7 +87,7 @@ def multi_intent_merge(spark, folder):
     """Two intents of each asking document, its title and its text's first line, searched by themselves and merged."""
     d = table(spark, folder, "documents", F.col("doc_id").alias("query_id"), "title", F.substring_index("text", "\n", 1).alias("line")).where("query_id % 20 = 0")
     asked = d.select((F.col("query_id") * 2).alias("query_id"), F.col("title").alias("question")).unionByName(d.select((F.col("query_id") * 2 + 1).alias("query_id"), F.col("line").alias("question"))).where("question is not null")
-    found = _ranked_lexical(R.bm25(_docs(spark, folder), asked))
+    found = R.bm25_top(_docs(spark, folder), asked)
     found = found.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).cast("int").alias("intent"), "doc_id", "rank")
     return merged_intents(found, 4)
 
@@ -122,7 +118,7 @@ _TERMS = f"""t AS (SELECT doc_id, source, {sql_tokens('text')} AS t FROM documen
   q AS (SELECT DISTINCT doc_id AS query_id, source, unnest({sql_tokens('title')}) AS term FROM documents WHERE doc_id % 20 = 0)"""
 
 
-_INTENT_TERMS = f"""i AS (SELECT doc_id AS query_id, 0 AS intent, title AS question FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 1, string_split(text[1:200], chr(10))[1] FROM documents WHERE doc_id % 20 = 0),
+_INTENT_TERMS = f"""i AS (SELECT doc_id AS query_id, 0 AS intent, title AS question FROM documents WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 1, string_split(text, chr(10))[1] FROM documents WHERE doc_id % 20 = 0),
   iq AS (SELECT DISTINCT query_id, intent, unnest({sql_tokens('question')}) AS term FROM i)"""
 
 

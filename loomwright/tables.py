@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt out over all cores where its files make fewer partitions than that; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, key: list[str], *order: str) -> DataFrame:
     """One row of each ``key``, the greatest by ``order`` with nulls last; whole-row repeats collapse first.
 

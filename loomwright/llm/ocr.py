@@ -1,6 +1,7 @@
 """Text of scanned pages made whole: broken words, misread words, running headers and page numbers.
 
-A noisy channel: how often a stretch of a word is misread as another is learned from the scanned words that no clean text
+A line is a running header if it has a title's form and it runs: its parts, or most of their words, stand on several pages. The
+rest is a noisy channel: how often a stretch of a word is misread as another is learned from the scanned words that no clean text
 has, a candidate's likelihood is that of the corpus n-grams, and Viterbi chooses among the candidates of a page's words.
 """
 
@@ -16,14 +17,17 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Words that are taken as read: the most frequent of the clean text. They only spare work, as no candidate can beat them.
+#: Words of the clean text, the most frequent, whose occurrences aren't handed on, as no candidate can beat them: those that one
+#: can beat are found by their candidates and handed on after all, so this spares work and changes no result.
 FREQUENT = 5_000
 #: A word of clean text that is this much rarer than a candidate may itself be misread.
 RARER = 200
-#: Misreadings kept: those with this share of all, at most so many.
-LEAST_SHARE, MOST_CONFUSIONS = 0.0002, 150
-#: Misreadings within one word, and candidates of one word.
-MOST_EDITS, MOST_CANDIDATES = 2, 12
+#: Misreadings kept: those of several words and with this share of all, so no more than its inverse.
+LEAST_SHARE, LEAST_WORDS = 0.0002, 2
+#: Misreadings within one word; longer strings are no words.
+MOST_EDITS, LONGEST = 2, 40
+#: Pages on which a part of a header stands at least, and the share of running words by which a misread part is one too.
+RUNNING_PAGES, RUNNING_SHARE = 3, 0.6
 #: Weight of the unigram beside the bigram, in counts.
 PRIOR = 1.0
 
@@ -35,10 +39,10 @@ _NUMBER = str.maketrans("oOlISBzZ|", "001158227")
 
 
 def kind_of(line: str) -> str | None:
-    """`header`, `page_number` or None for a line of running text or a blank one.
+    """`header`, `page_number` or None for a line of running text or a blank one, by its form alone.
 
-    A page number is a number or numeral by itself, however it is set off or misread. A header has no sentence's end and no more
-    than one word in small letters ("and"), as titles and section names do; one with a page number is a header.
+    A page number is a number or numeral by itself, however it is set off or misread. What may be a header has no sentence's end
+    and no more than one word in small letters ("and"), as titles and section names do; one with a page number may be too.
     """
     s = line.strip()
     if not s:
@@ -53,8 +57,44 @@ def kind_of(line: str) -> str | None:
     return None
 
 
-def body(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str, str]]]:
-    """((line_no, noise) of headers and page numbers, tokens of the rest).
+# Letters that scans take for one another, each class by one letter.
+_FOLD = str.maketrans("o0cefti1l|jnhmurb6dg9qs5z2", "oooooo" + "iiiii" + "nnnnn" + "bbb" + "ggg" + "ss" + "zz")
+_PART = re.compile(r"\s[-–—|·•]\s|\s{2,}|\||(?<=\d)[.]?\s+(?=[^\W\d_])|(?<=[^\W\d_])\s+(?=\d{1,3}$)")
+
+
+def header_parts(line: str) -> list[tuple[str, list[str]]]:
+    """(key, words) of the parts of a line, between its numbers and marks: the letters as a scan might confuse them."""
+    out = []
+    for part in _PART.split(line.strip()):
+        words = [w for x in re.findall(r"[^\W_]+", part.lower()) if sum(c.isalpha() for c in x) >= 2 and (w := x.translate(_FOLD))]
+        if words:
+            out.append(("".join(words), words))
+    return out
+
+
+def running_headers(pages: DataFrame) -> DataFrame:
+    """(chunk_id, headers): the numbers of the lines of each page that are running headers.
+
+    A line that may be one by its form is one if a part of it stands on RUNNING_PAGES pages, or if RUNNING_SHARE of a part's words
+    are words of such parts. Parts are counted over distinct pages in two steps, and words are compared once for each distinct part.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(chunk, no, key, words) for chunk, text in zip(pdf["chunk_id"], pdf["text"]) for no, line in enumerate(text.split("\n"), 1) if kind_of(line) == "header" for key, words in header_parts(line)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "line_no", "part", "words"])
+
+    parts = materialise(pages.mapInPandas(run, "chunk_id string, line_no int, part string, words array<string>"), "ocr-parts")
+    pages_of = parts.groupBy("part", "chunk_id").agg(F.first("words").alias("words")).groupBy("part").agg(F.count("*").alias("n"), F.first("words").alias("words"))
+    pages_of = materialise(pages_of.withColumn("runs", F.col("n") >= RUNNING_PAGES), "ocr-running")
+    words = pages_of.where("runs").select(F.explode("words").alias("word")).distinct().withColumn("known", F.lit(1))
+    others = pages_of.where("not runs").select("part", F.explode("words").alias("word")).join(words, "word", "left").groupBy("part").agg((F.sum(F.coalesce("known", F.lit(0)) * F.length("word")) / F.sum(F.length("word"))).alias("share"))
+    found = pages_of.where("runs").select("part").unionByName(others.where(F.col("share") >= RUNNING_SHARE).select("part"))
+    return parts.select("chunk_id", "line_no", "part").join(found, "part").groupBy("chunk_id").agg(F.collect_set("line_no").alias("headers"))
+
+
+def body(text: str, headers: set[int]) -> tuple[list[tuple[int, str]], list[tuple[int, str, str, str]]]:
+    """((line_no, noise) of headers and page numbers, tokens of the rest). ``headers`` are the lines that run.
 
     A token is (line_no, word, joined, between): the word in lower case, for a word broken over lines with its hyphen, and then
     also ``joined`` without it.
@@ -62,8 +102,8 @@ def body(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, str, str, st
     noise, tokens = [], []
     held: tuple[int, str] | None = None
     for no, line in enumerate(text.split("\n"), 1):
-        if kind := kind_of(line):
-            noise.append((no, kind))
+        if (kind := kind_of(line)) == "page_number" or no in headers:
+            noise.append((no, "header" if no in headers else kind))
             continue
         if not line.strip():
             continue
@@ -115,37 +155,37 @@ def _holes(words: DataFrame, word: str, prefix: str) -> DataFrame:
 def confusions(unknown: DataFrame, words: DataFrame) -> list[tuple[str, str, float]]:
     """(seen, meant, log probability): stretches in which unknown words differ from a clean one that is otherwise the same.
 
-    ``unknown`` and ``words`` have (word, n). At most MOST_CONFUSIONS, so a bounded table goes to the driver.
+    ``unknown`` and ``words`` have (word, n). Each has at least LEAST_SHARE of all, so a table of bounded size goes to the driver.
     """
-    a = _holes(unknown.where("length(word) between 3 and 24 and word rlike '^[a-z0-9]+$' and word rlike '[a-z]{2}'"), "word", "seen")
-    b = _holes(words.where("length(word) between 3 and 24 and n >= 3 and word rlike '^[a-z]+$'"), "word", "meant")
+    a = _holes(unknown.where(rf"length(word) between 3 and {LONGEST} and word rlike r'^[\p{{L}}\p{{N}}]+$' and word rlike r'\p{{L}}{{2}}'"), "word", "seen")
+    b = _holes(words.where(rf"length(word) between 3 and {LONGEST} and n >= 3 and word rlike r'^\p{{L}}+$'"), "word", "meant")
     pairs = a.join(b, "key").where("left(seen, 1) <> left(meant, 1) and right(seen, 1) <> right(meant, 1)")
     pairs = pairs.select("w_seen", "seen", "meant", "n_seen").distinct()
     often = pairs.groupBy("seen", "meant").agg(F.sum("n_seen").alias("all"))
     # a word that differs from several in several ways counts for the way that is most common over all words
     best = pairs.join(often, ["seen", "meant"]).groupBy("w_seen").agg(F.max_by(F.struct("seen", "meant", "n_seen"), F.struct("all", "seen", "meant")).alias("b"))
-    found = best.groupBy("b.seen", "b.meant").agg(F.sum("b.n_seen").alias("n"), F.count("*").alias("kinds")).where("kinds >= 2")
-    top = found.orderBy(F.desc("n"), "seen", "meant").limit(MOST_CONFUSIONS).collect()
-    total = sum(r.n for r in top) or 1
-    return [(r.seen, r.meant, math.log(r.n / total)) for r in top if r.n >= LEAST_SHARE * total]
+    found = materialise(best.groupBy("b.seen", "b.meant").agg(F.sum("b.n_seen").alias("n"), F.count("*").alias("kinds")).where(F.col("kinds") >= LEAST_WORDS), "ocr-confusions")
+    total = found.agg(F.sum("n")).first()[0] or 1
+    return [(r.seen, r.meant, math.log(r.n / total)) for r in found.where(F.col("n") >= LEAST_SHARE * total).orderBy(F.desc("n"), "seen", "meant").collect()]
 
 
 def _scanned(chunks: DataFrame) -> DataFrame:
     return chunks.where("extraction = 'ocr-eng' and text is not null").select(F.col("id").alias("chunk_id"), "text").distinct()
 
 
-def parsed(pages: DataFrame, frequent: frozenset[str]) -> DataFrame:
+def parsed(pages: DataFrame, skipped: frozenset[str], only: bool = False) -> DataFrame:
     """(chunk_id, line_no, noise, at, word, joined, prev, next): headers and page numbers, broken words, and the words that are
-    not among the frequent ones with their neighbours. ``at`` counts a page's words. Narrow."""
+    not ``skipped`` with their neighbours; with ``only`` just the words that are. ``at`` counts a page's words. ``pages`` has
+    (chunk_id, text, headers). Narrow."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for chunk, text in zip(pdf["chunk_id"], pdf["text"]):
-                noise, tokens = body(text)
-                rows += [(chunk, no, kind, -1, "", "", "", "") for no, kind in noise]
+            for chunk, text, headers in zip(pdf["chunk_id"], pdf["text"], pdf["headers"]):
+                noise, tokens = body(text, set(headers) if headers is not None else set())
+                rows += [(chunk, no, kind, -1, "", "", "", "") for no, kind in noise if not only]
                 for at, (no, word, joined, raw) in enumerate(tokens):
-                    if joined or word not in frequent and not _is_code(word, raw):
+                    if not joined and word in skipped if only else joined or word not in skipped and not _is_code(word, raw):
                         prev = tokens[at - 1][1] if at else "^"
                         after = tokens[at + 1][1] if at + 1 < len(tokens) else ""
                         rows.append((chunk, no, "hyphen" if joined else "", at, word, joined, prev, after))
@@ -160,6 +200,10 @@ def candidates(tokens: DataFrame, words: DataFrame, table: list[tuple[str, str,
     Misreadings are undone in the word, at most MOST_EDITS of them, and what comes out is looked up in the clean words by a join.
     """
 
+    by_first: dict[str, list[tuple[str, str, float]]] = {}
+    for seen, meant, lp in table:
+        by_first.setdefault(seen[:1], []).append((seen, meant, lp))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
@@ -169,21 +213,20 @@ def candidates(tokens: DataFrame, words: DataFrame, table: list[tuple[str, str,
                 for _ in range(MOST_EDITS):
                     nxt = []
                     for w, score, start in edge:
-                        for seen, meant, lp in table:
-                            i = w.find(seen, start)
-                            while i >= 0:
-                                new, s = w[:i] + meant + w[i + len(seen) :], score + lp
-                                if best.get(new, -1e9) < s:
-                                    best[new] = s
-                                    nxt.append((new, s, i + len(meant)))
-                                i = w.find(seen, i + 1)
+                        for i in range(start, len(w)):
+                            for seen, meant, lp in by_first.get(w[i], ()):
+                                if w.startswith(seen, i):
+                                    new, s = w[:i] + meant + w[i + len(seen) :], score + lp
+                                    if best.get(new, -1e9) < s:
+                                        best[new] = s
+                                        nxt.append((new, s, i + len(meant)))
                     edge = nxt
                 rows += [(word, w, s) for w, s in best.items()]
             yield pd.DataFrame(rows, columns=["word", "choice", "lp"])
 
-    tried = tokens.select("word").distinct().where("length(word) <= 40").mapInPandas(run, "word string, choice string, lp double")
+    tried = tokens.select("word").distinct().where(F.length("word") <= LONGEST).mapInPandas(run, "word string, choice string, lp double")
     known = tried.join(words.select(F.col("word").alias("choice"), "n"), "choice")
-    return known.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("lp", "n", "choice")), asc=False), 1, MOST_CANDIDATES).alias("choices"))
+    return known.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lp", "n", "choice")), asc=False).alias("choices"))
 
 
 def _viterbi(page: list, pairs: dict[tuple[str, str], int], total: float) -> list[tuple[int, str, str, str]]:
@@ -280,17 +323,25 @@ def noise(chunks: DataFrame) -> DataFrame:
     ``chunks`` has (id, text, extraction). Lines are numbered from 1, blank ones included. For broken and misread words ``word``
     is the intended whole word in lower case and ``observed`` what stands there; both are empty for lines. Null, empty and blank
     texts give no row; a chunk delivered twice counts once; without clean text nothing is misread. Counts and misreadings are
-    those of all chunks; only the frequent words and the misreadings, both of bounded number, pass through the driver.
+    those of all chunks; only the frequent words and the misreadings, both of bounded number, pass through the driver. A line of
+    a title's form that doesn't run over pages is text.
     """
     bigrams = materialise(clean_bigrams(chunks), "ocr-bigrams")
     words = bigrams.groupBy(F.col("w2").alias("word")).agg(F.sum("n").alias("n"))
     words = materialise(words, "ocr-words")
-    frequent = frozenset(r.word for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect() if r.n >= 5)
     total = float(words.agg(F.sum("n")).first()[0] or 1)
-    rows = materialise(parsed(_scanned(chunks), frequent), "ocr-tokens")
+    most = words.where("n >= 5").orderBy(F.desc("n"), "word").limit(FREQUENT)
+    frequent = frozenset(r.word for r in most.collect())
+    scanned = _scanned(chunks)
+    pages = materialise(scanned.join(running_headers(scanned), "chunk_id", "left"), "ocr-lines")
+    rows = materialise(parsed(pages, frequent), "ocr-tokens")
     tokens = rows.where("at >= 0")
     unknown = tokens.where("noise = ''").groupBy("word").agg(F.count("*").alias("n")).join(words.select("word"), "word", "left_anti")
     table = confusions(unknown, words)
+    if table:
+        rival = candidates(most, words, table).join(most, "word").where(F.exists("choices", lambda c: (c["choice"] != F.col("word")) & (c["n"] >= RARER * F.col("n"))))
+        if beaten := frozenset(r.word for r in rival.select("word").collect()):
+            tokens = tokens.unionByName(materialise(parsed(pages, beaten, only=True), "ocr-tokens"))
     wanted = tokens.select("word").union(tokens.where("joined <> ''").select(F.col("joined").alias("word")))
     found = _decoded(tokens, candidates(wanted, words, table), bigrams, total)
     return rows.where("at < 0").select("chunk_id", "line_no", "noise", "word", F.lit("").alias("observed")).unionByName(found)

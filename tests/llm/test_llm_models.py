@@ -148,6 +148,24 @@ def test_requested_language(question, lang):
     assert pairs.requested(question) == lang
 
 
+def test_headers_run_over_pages(spark):
+    parts = ["Nadelstange", "Greifer", "Spule", "Hebel", "Feder", "Riemen", "Motor", "Deckel"]
+    body = "the wheel is turned slowly until the mark is level with the edge of the plate"
+    rows = [(f"o{i}", f"Thread Tension {i}\n{body}\nSchmieren Sie {parts[i]}, {parts[-1 - i]}\nOil {parts[i]}\n{i + 1}", "ocr-eng") for i in range(4)]
+    rows += [("m", f"Thrcad Tensiom\n{body}", "ocr-eng"), ("t", f"Check The Bobbin Winder\n{body}", "ocr-eng"), ("c", f"{body}. {body}", "text"), ("n", None, "ocr-eng"), ("b", " ", "ocr-eng")]
+    df = spark.createDataFrame(rows, "id string, text string, extraction string").withColumn("word", F.lit("clash"))
+    got = {(r.chunk_id, r.line_no, r.noise) for r in ocr.noise(df).collect() if r.noise in ("header", "page_number")}
+    assert got == {(f"o{i}", 1, "header") for i in range(4)} | {(f"o{i}", 5, "page_number") for i in range(4)} | {("m", 1, "header")}
+    assert ocr.noise(df.limit(0)).count() == 0
+
+
+def test_a_frequent_word_can_be_beaten(spark):
+    clean = [(f"c{i}", "the needle moves down and the hand wheel turns. " * 300 + " the needlc stops" * (i < 5), "text") for i in range(6)]
+    scanned = [(f"o{i}", "the necdle stops and the hancl whccl turns down\nthe needlc moves and the whcel stops", "ocr-eng") for i in range(8)]
+    got = {(r.observed, r.word) for r in ocr.noise(spark.createDataFrame(clean + scanned, "id string, text string, extraction string")).collect() if r.noise == "misread"}
+    assert ("needlc", "needle") in got and ("whcel", "wheel") in got
+
+
 def test_scanned_text(spark):
     r = random.Random(6)
     clean = [(f"c{i}", text(r, "en", 8) + " Use a self-locking nut.", "text") for i in range(150)]

@@ -12,17 +12,21 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 
-#: Characters of other scripts that look like the Latin letter below them. Fixed values.
-LOOKALIKES = (
-    "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαιρυνκ",
-    "ABESIJKMHOPCTYXaesijopcyxhdqw" "ABEZHIKMNOPTYXoaipuvk",
-)
+# Letters of other scripts that look like the Latin letter below them, by script.
+LIKE_LATIN = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХԌԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXGWaesijopcyxhdqwl"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοαιρυνκϲϳ", "ABEZHIKMNOPTYXCoaipuvkcj"),
+    "Armenian": ("ՕՍօսհո", "OUouhn"),
+}
+#: All of these and their Latin letters.
+LOOKALIKES = ("".join(x for x, _ in LIKE_LATIN.values()), "".join(y for _, y in LIKE_LATIN.values()))
 #: Invisible: soft hyphen, grapheme joiner, zero-width characters, direction marks, word joiner, byte order mark, variation selectors.
 INVISIBLE = r"[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]"
 #: Every kind of space, each by one plain space.
 SPACES = r"[\t\n\u000B\f\r\u0085   -     　]"
 HYPHENS = r"[‐‑﹣－]"
-_ODD_LETTER = r"[\p{IsGreek}\p{IsCyrillic}]"
+SCRIPTS = ("Latin", *LIKE_LATIN)
+_ODD_LETTER = "[" + "".join(rf"\p{{Is{x}}}" for x in LIKE_LATIN) + "]"
 _TOKEN = r"[\p{L}\p{M}\p{N}]+"
 
 
@@ -58,9 +62,17 @@ def composed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, _composed(F.col(column)))
 
 
-def latin(token: Column) -> Column:
-    """The token with every look-alike as the Latin letter."""
-    return F.translate(token, *LOOKALIKES)
+def in_script(token: Column, script: str) -> Column:
+    """The token with every look-alike as a letter of ``script``; null if a letter of another one of SCRIPTS is left."""
+    plain = F.translate(token, *LOOKALIKES)
+    if script != "Latin":
+        plain = F.translate(plain, LIKE_LATIN[script][1], LIKE_LATIN[script][0])
+    others = "".join(rf"\p{{Is{x}}}" for x in SCRIPTS if x != script)
+    return F.when(~plain.rlike(f"[{others}]"), plain)
+
+
+def _letters_of(text: str, script: str) -> Column:
+    return F.length(F.regexp_replace(text, rf"[^\p{{Is{script}}}]+", ""))
 
 
 def bits(column: str) -> Column:
@@ -78,22 +90,30 @@ def surfaced(rows: DataFrame, row_id: str, *columns: str) -> DataFrame:
 def repairs(surfaces: DataFrame) -> DataFrame:
     """(form, mended) for the distinct (form) that hold misplaced look-alikes.
 
-    A token that has Latin letters beside Greek or Cyrillic ones is mixed; one that has only these is out of place where most of
-    its text's letters are of another script. Such a token is repaired if it becomes wholly Latin and the result is in the
-    corpus vocabulary: a token of some text, or the repaired form of differently written tokens. Only texts with such letters
-    and the distinct tokens of the corpus are shuffled.
+    The dominant script of a token is the one of most of its letters, then of its text's. A token of several scripts is mixed: its
+    look-alikes become letters of its dominant script, or else of the next one. A token all of whose letters are look-alikes has no
+    mixture of its own, but with its text where most letters are of other scripts; it becomes one of the script that is most
+    frequent there, Latin before others. Either is done only if the result is wholly of that script and in the corpus vocabulary, a
+    token of some text that isn't mixed. Only texts with Greek, Cyrillic or Armenian letters and those words of the corpus that a
+    repair asks for are shuffled.
     """
     odd = surfaces.select("form").where(F.col("form").rlike(_ODD_LETTER)).distinct()
     tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)))).alias("token")
-    letters = F.length(F.regexp_replace("form", r"\P{L}+", ""))
-    odds = F.length(F.regexp_replace("form", r"[^\p{IsGreek}\p{IsCyrillic}]+", ""))
-    suspect = odd.select("form", (odds * 2 < letters).alias("foreign"), tokens("form")).where(F.col("token").rlike(_ODD_LETTER))
-    suspect = suspect.where(F.col("foreign") | F.col("token").rlike(r"\p{IsLatin}")).withColumn("word", latin(F.col("token"))).where(~F.col("word").rlike(_ODD_LETTER))
-    pairs = suspect.select("token", "word").distinct()
-    wanted = pairs.groupBy("word").agg(F.count("*").alias("spellings"))
-    known = surfaces.select(tokens("form")).where(~F.col("token").rlike(_ODD_LETTER)).groupBy(F.col("token").alias("word")).agg(F.lit(True).alias("known"))
-    accepted = pairs.join(wanted, "word").join(known, "word", "left").where("known or spellings > 1").select("token", "word")
-    fixes = suspect.select("form", "token").join(accepted, "token").groupBy("form").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))
+    odd = odd.select("form", F.length(F.regexp_replace("form", r"\P{L}+", "")).alias("letters"), *[_letters_of("form", x).alias(f"text_{x}") for x in SCRIPTS])
+    suspect = odd.select("*", tokens("form")).where(F.col("token").rlike(_ODD_LETTER))
+    suspect = suspect.select("*", *[_letters_of("token", x).alias(f"own_{x}") for x in SCRIPTS])
+    mixed = sum(F.when(F.col(f"own_{x}") > 0, 1).otherwise(0) for x in SCRIPTS) > 1
+    # a script's rank in a mixed token is that of its letters there, then in the text; in a token of one script that of the text alone
+    foreign = sum(F.when(F.col(f"own_{x}") > 0, F.col(f"text_{x}")).otherwise(0) for x in SCRIPTS) * 2 < F.col("letters")
+    there = {x: F.col(f"text_{x}") * 2 + (1 if x == "Latin" else 0) for x in SCRIPTS}
+    rank = {x: F.when(mixed, F.when(F.col(f"own_{x}") > 0, F.col(f"own_{x}") * 1_000_000 + there[x])).when(foreign & (F.col(f"own_{x}") == 0), there[x]) for x in SCRIPTS}
+    tries = F.array(*[F.struct((-rank[x]).alias("order"), F.lit(i).alias("script"), in_script(F.col("token"), x).alias("word")) for i, x in enumerate(SCRIPTS)])
+    suspect = suspect.select("form", "token", F.explode(F.filter(tries, lambda t: t["order"].isNotNull() & t["word"].isNotNull() & (t["word"] != F.col("token")))).alias("t")).select("form", "token", "t.order", "t.script", "t.word")
+    wanted = suspect.select(F.col("word").alias("token")).distinct()
+    unmixed = ~(F.col("token").rlike(_ODD_LETTER) & F.col("token").rlike(r"\p{IsLatin}"))
+    known = surfaces.select(tokens("form")).where(unmixed).join(wanted, "token", "left_semi").select(F.col("token").alias("word")).distinct()
+    fixes = suspect.join(known, "word").groupBy("form", "token").agg(F.min(F.struct("order", "script", "word"))["word"].alias("word"))
+    fixes = fixes.groupBy("form").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))
     # longest first, so that no token is replaced inside a longer one
     fixes = fixes.withColumn("fixes", F.array_sort("fixes", lambda a, b: F.length(b["token"]) - F.length(a["token"])))
     return fixes.select("form", F.aggregate("fixes", F.col("form"), lambda t, x: F.replace(t, x["token"], x["word"])).alias("mended"))
@@ -103,7 +123,7 @@ def unified(rows: DataFrame, row_id: str, *columns: str) -> DataFrame:
     """(id, name, chars, form): the texts of ``columns``, one row each, with 128 bits of them and their consistent form.
 
     Null texts give no row, blank ones an empty form; repeated rows stay; letter case, digits and anything else a reader can
-    see stay. Surfaces are written once; texts without Greek or Cyrillic letters are not shuffled.
+    see stay. Surfaces are written once; texts without letters of other scripts that look alike are not shuffled.
     """
     surfaces = materialise(surfaced(rows, row_id, *columns), "surfaces")
     odd = F.col("form").rlike(_ODD_LETTER)

@@ -65,7 +65,7 @@ def _pack(items: DataFrame, groups, capacity: int, most_documents: int, most_att
     """(…, container): ``items`` packed within each group; a container's name holds the round, the group and its place."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["tokens", "row"], ascending=[False, True], kind="stable")
         place = best_fit(pdf["tokens"].to_numpy(), capacity, most_documents, most_attention)
         names = {p: f"{first}-{pdf['bucket'].iloc[0]}-{p}" for p in np.unique(place)}
         return pdf.drop(columns="bucket").assign(container=[names[p] for p in place])
@@ -92,11 +92,13 @@ def containers(counts: DataFrame, capacity: int = 2048, most_documents: int | No
     items = sized.select("doc_id", "tokens", F.explode(full).alias("piece")).select(
         "doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"),
         F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece") * capacity).alias("tokens"))
-    items = materialise(items, "packing-items")  # the encoding runs once; the number of groups needs its sums
+    # the encoding runs once, as the number of groups needs its sums; rows are numbered as they are written, so that rows of one doc_id
+    # or none are spread like any others
+    items = materialise(items.withColumn("row", F.monotonically_increasing_id()), "packing-items")
     whole = F.col("tokens") == capacity
     total, n = items.where(~whole).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     groups = max(1, -(-total // (group_containers * capacity)), -(-n // (group_containers * 256)))
-    spread = lambda salt, k: F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(salt)), F.lit(k))
+    spread = lambda salt, k: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(k))
     once = materialise(_pack(items.where(~whole), spread(1, groups), capacity, most_documents, most_attention, 0, groups), "packing-round")
     result = once
     if groups > 1:
@@ -105,5 +107,5 @@ def containers(counts: DataFrame, capacity: int = 2048, most_documents: int | No
         again = once.join(open_, "container", "left_semi").drop("container")
         left = max(1, -(-groups // 64))
         result = once.join(open_, "container", "left_anti").select(*once.columns).unionByName(_pack(again, spread(2, left), capacity, most_documents, most_attention, 1, left))
-    alone = items.where(whole).withColumn("container", F.concat(F.lit("full-"), F.monotonically_increasing_id().cast("string")))
-    return result.unionByName(alone)
+    alone = items.where(whole).withColumn("container", F.concat(F.lit("full-"), F.col("row").cast("string")))
+    return result.unionByName(alone).drop("row")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from ..tables import latest, table
+from ..tables import latest, spread, table
 from . import boilerplate, encoding, language, lookalikes, ocr, packing, pairs, reading, splitting
 
 
@@ -40,25 +40,25 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_margins(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.defects(table(spark, folder, "queries", "id", "question", "answer", "status"), _language_labels(spark, folder))
+    return pairs.defects(spread(table(spark, folder, "queries", "id", "question", "answer", "status")), _language_labels(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks", "id", "manual_id", "text", "extraction").where("extraction = 'text'")
+    chunks = spread(table(spark, folder, "chunks", "id", "manual_id", "text", "extraction")).where("extraction = 'text'")
     return boilerplate.repeated_lines(chunks).withColumnRenamed("doc_id", "chunk_id")
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks", "id", "manual_id", "text", "extraction").where("extraction = 'text'")
+    chunks = spread(table(spark, folder, "chunks", "id", "manual_id", "text", "extraction")).where("extraction = 'text'")
     return boilerplate.without_repeated_lines(chunks).withColumnRenamed("doc_id", "chunk_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalikes.look_same(table(spark, folder, "queries", "id", "question", "search_question"))
+    return lookalikes.look_same(spread(table(spark, folder, "queries", "id", "question", "search_question")))
 
 
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalikes.unified(table(spark, folder, "queries", "id", "question", "search_question"), "id", "question", "search_question").select("id", "name", "form").distinct()
+    return lookalikes.unified(spread(table(spark, folder, "queries", "id", "question", "search_question")), "id", "question", "search_question").select("id", "name", "form").distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,7 @@ def p5_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, folder: str, f) -> DataFrame:
-    chunks, drafts = table(spark, folder, "chunks", "id", "text"), table(spark, folder, "unit_drafts", "draft_id", "text")
+    chunks, drafts = spread(table(spark, folder, "chunks", "id", "text")), spread(table(spark, folder, "unit_drafts", "draft_id", "text"))
     return f(chunks, "id", "text").withColumn("item_table", F.lit("chunks")).unionByName(f(drafts, "draft_id", "text").withColumn("item_table", F.lit("unit_drafts")))
 
 
@@ -83,20 +83,20 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding.encode(table(spark, folder, "documents", "doc_id", "text"))
+    return encoding.encode(spread(table(spark, folder, "documents", "doc_id", "text")))
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.containers(encoding.token_counts(table(spark, folder, "documents", "doc_id", "text")))
+    return packing.containers(encoding.token_counts(spread(table(spark, folder, "documents", "doc_id", "text"))))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    levels = reading.reading_levels(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "level_samples"))
-    return levels.select("doc_id", "reading_level").distinct()
+    return p9_levels(spark, folder).select("doc_id", "reading_level").distinct()
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return reading.reading_levels(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "level_samples"))
+    languages = language.fitted(table(spark, folder, "documents", F.col("lang").alias("label"), "text"))
+    return reading.reading_levels(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "level_samples"), languages)
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_segments, p2_found, p2_margins, p3_found, p3_cleaned, p4_found, p4_unified, p5_found, p5_repaired, p6_found, p6_pieces, p7_ids, p8_containers, p9_found, p9_levels)}

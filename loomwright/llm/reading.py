@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -11,12 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .language import CLEAR, GROUP_CHARS, CrossParser, by_language, parser_of
+from .sampling import first_by_hash
+
 # The levels and the middle of their US school grades.
 LEVELS = ("basic", "standard", "expert")
 GRADES = np.array([3.0, 9.0, 14.0])
 
-#: Words of prose that an estimate needs, and the share of known words below which a sentence is not English.
-LEAST_WORDS, LEAST_KNOWN = 60, 0.45
+#: Words of prose that an estimate needs.
+LEAST_WORDS = 60
 #: Rows of graded text that the model is fitted on at most.
 SAMPLE_ROWS = 5_000
 QUANTILES = np.linspace(0.1, 0.9, 9)
@@ -24,7 +28,7 @@ QUANTILES = np.linspace(0.1, 0.9, 9)
 ROUNDS = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPLIT = re.compile(r"(?<=[.!?])(?<!\bNo\.)(?<!\bno\.)(?<!\bFig\.)(?<!\bRef\.)(?<!\bp\.)[\"'”’)\]]{0,3}\s+")
+_SPLIT = re.compile(r"(?<=[.!?।])(?<!\bNo\.)(?<!\bno\.)(?<!\bFig\.)(?<!\bRef\.)(?<!\bp\.)[\"'”’)\]]{0,3}\s+")
 _ITEM = re.compile(r"^\s*(?:[-*•·]|\d{1,3}[.)]|[a-z]\))\s+")
 _CAPTION = re.compile(r"^\s*(?:Fig|Ref|Tab|Table|Figure|Abb)\b\.?\s*\S{0,20}\s*(?:$|[:.]?\s)", re.I)
 _MARKS = re.compile(r"[|;\t=<>{}①-⓿]|\s{3,}|:\s*\d")
@@ -43,7 +47,7 @@ def prose(text: str) -> Iterator[list[str]]:
             words = _LETTERS.findall(part.lower())
             if len(words) < 3 or _MARKS.search(part):
                 continue
-            if part.rstrip("\"'”’)] ").endswith((".", "!", "?")) or len(words) >= 4 and sum(w[0].islower() for w in _LETTERS.findall(part)) * 2 >= len(words):
+            if part.rstrip("\"'”’)] ").endswith((".", "!", "?", "।")) or len(words) >= 4 and sum(w[0].islower() for w in _LETTERS.findall(part)) * 2 >= len(words):
                 yield words
 
 
@@ -137,42 +141,61 @@ class WordGrades:
             cuts.append(float(np.median(best)))
         self.cuts = np.array(cuts)
 
-    def judge(self, text: str | None) -> tuple[str, float, int] | None:
-        """(level, score, words), or None for a text that isn't wholly English or has too little prose."""
-        if not text:
-            return None
-        sentences, n = [], 0
-        grade = self.grade
-        for words in prose(text):
-            known = sum(map(grade.__contains__, words))
-            if known < LEAST_KNOWN * len(words) and known < LEAST_KNOWN * sum(len(w) > 1 for w in words):
-                return None
-            sentences.append(words)
-            n += len(words)
-        if n < LEAST_WORDS or (x := self._quantiles(sentences, grade)) is None:
+    def judge(self, sentences: list[list[str]]) -> tuple[str, float, int] | None:
+        """(level, score, words) of a text's sentences, or None for one of too little prose or of no known word."""
+        n = sum(map(len, sentences))
+        if n < LEAST_WORDS or (x := self._quantiles(sentences, self.grade)) is None:
             return None
         score = float((x - self.mean) @ self.weights)
         return LEVELS[int((score > self.cuts).sum())], score, n
 
 
+def _in_english(texts: list[list[list[str]]], parser: CrossParser) -> list[bool]:
+    """Whether every sentence of each text is English by the cross-parser; a short one that it is unsure of speaks for no language."""
+    joined = [[" ".join(words) for words in sentences] for sentences in texts]
+    unique = {s: i for i, s in enumerate(dict.fromkeys(s for own in joined for s in own))}
+    if not unique or "en" not in parser.languages:
+        return [False] * len(texts)
+    cost = by_language(parser, parser.phrases(list(unique)))
+    english = cost[:, parser.languages.index("en")]
+    other = np.delete(cost, parser.languages.index("en"), axis=1).min(axis=1, initial=np.inf)
+    long = np.array([s.count(" ") >= 7 for s in unique])
+    foreign = english > other * np.where(long, 1.0, CLEAR / (1 - CLEAR))
+    return [bool(own) and not any(foreign[unique[s]] for s in own) for own in joined]
+
+
 def fit(samples: DataFrame) -> WordGrades:
-    """The model from (text, reading_level); at most SAMPLE_ROWS rows, those of the smallest hash."""
-    rows = samples.select("text", "reading_level").where("text is not null").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()
-    return WordGrades([(r.text, r.reading_level) for r in rows])
+    """The model from (text, reading_level), fitted in a task; at most SAMPLE_ROWS distinct rows, those of the smallest hash."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted(r for pdf in frames for r in zip(pdf["text"], pdf["reading_level"]))
+        yield pd.DataFrame({"model": [pickle.dumps(WordGrades(rows))]})
+
+    rows = first_by_hash(samples.select("text", "reading_level").where("text is not null and reading_level is not null").withColumn("all", F.lit(1)), SAMPLE_ROWS, ["all"], ["text", "reading_level"])
+    row = rows.select("text", "reading_level").coalesce(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(row.model) if row else WordGrades([])
 
-def reading_levels(documents: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def reading_levels(documents: DataFrame, samples: DataFrame, languages: tuple, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, reading_level, score, words) of every document written wholly in English with enough words of prose.
 
-    Null, empty and blank texts, texts in part or whole in another language and texts with too little prose have no row.
-    Repeated rows give repeated rows. Narrow: the model is a few hundred words from the graded samples, whose number is bounded.
+    ``languages`` is the cross-parser's model, which decides what is English. Null, empty and blank texts, texts in part or whole
+    in another language and texts with too little prose have no row. Repeated rows give repeated rows. Narrow: the model is a few
+    hundred words from the graded samples, whose number is bounded.
     """
     model = fit(samples)
     kind = documents.schema[doc_id].dataType.simpleString()
 
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [(d, s) for d, t in zip(pdf["doc_id"], pdf["text"]) if t and sum(map(len, s := list(prose(t)))) >= LEAST_WORDS]
+        english = _in_english([s for _, s in texts], parser_of(languages)) if languages[1] else []
+        rows = [(d, *j) for (d, s), e in zip(texts, english) if e and (j := model.judge(s))]
+        return pd.DataFrame(rows, columns=["doc_id", "reading_level", "score", "words"])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            judged = [(d, *j) for d, t in zip(pdf["doc_id"], pdf["text"]) if (j := model.judge(t))]
-            yield pd.DataFrame(judged, columns=["doc_id", "reading_level", "score", "words"])
+            size = pdf["text"].map(lambda t: len(t) if t else 0).cumsum() // GROUP_CHARS
+            for _, part in pdf.groupby(size.to_numpy(), sort=False):
+                yield judged(part)
 
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, reading_level string, score double, words int")

@@ -231,6 +231,8 @@ def test_reading_levels(spark):
     truth = {i: r.choice(list(make)) for i in range(150)}
     rows = [(i, doc(level, 14)) for i, level in truth.items()] + [(900, None), (901, ""), (902, "Put the pin on the mat and wait."), (903, doc("basic", 10) + " " + text(r, "de", 3)), (904, text(r, "fr", 20)), (905, "a | b | 1\n" * 90), (906, doc("expert", 4000))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = {x.doc_id: x.reading_level for x in reading.reading_levels(df, samples).collect()}
+    labelled = [("en", doc(r.choice(list(make)), 4)) for _ in range(60)] + [(lang, text(r, lang, 4)) for lang in ("de", "fr") for _ in range(60)]
+    languages = language.fitted(spark.createDataFrame(labelled, "label string, text string"))
+    got = {x.doc_id: x.reading_level for x in reading.reading_levels(df, samples, languages).collect()}
     assert set(got) == set(truth) | {906} and sum(got[i] == level for i, level in truth.items()) >= 0.93 * len(truth) and got[906] == "expert"
-    assert reading.reading_levels(df.limit(0), samples).count() == 0
+    assert reading.reading_levels(df.limit(0), samples, languages).count() == 0

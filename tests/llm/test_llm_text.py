@@ -53,6 +53,14 @@ def test_look_same(spark):
     assert lookalikes.look_same(df.limit(0)).count() == 0
 
 
+def test_repairs_go_to_the_dominant_script(spark):
+    rows = [("1", "двигатель и крышка"), ("2", "двигaтель и крышка"), ("3", "the thread of\u0456t"), ("4", "The \u0430rm"), ("5", "The arm"), ("6", "ва\u0441uum pump"), ("7", "vacuum"), ("8", "кnown сare"), ("9", "Xαρά")]
+    form = {r.id: r.form for r in lookalikes.unified(spark.createDataFrame(rows, "id string, q string"), "id", "q").collect()}
+    assert form["2"] == form["1"] and form["4"] == form["5"]
+    # no word of the corpus comes out: nothing is done
+    assert form["3"] == "the thread of\u0456t" and form["6"] == "ва\u0441uum pump" and form["8"] == "кnown сare" and form["9"] == "Xαρά"
+
+
 def test_pieces(spark):
     s = "Turn the wheel by hand and check No. 5 at 0.35 mm. "
     rows = [("a", s * 40), ("a", s * 40), ("b", "x" * 3000), ("c", None), ("d", " \n "), ("e", "short  \t text"), ("f", ("word " * 30).strip() + ", "), ("g", ("অংশ খুলে নিন। " * 120)), ("h", "para one.\n\n" + "long " * 150 + "\n\n" + "tail " * 150), ("i", "one two " * 200 + ". End here.")]

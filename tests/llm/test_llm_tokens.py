@@ -67,3 +67,14 @@ def test_each_capacity_binds(spark, documents, attention, most):
     df = spark.createDataFrame([(i, 600) for i in range(42)], "doc_id long, tokens long")
     rows = packing.containers(df, most_documents=documents, most_attention=attention).groupBy("container").count().collect()
     assert [r["count"] for r in rows] == [most] * (42 // most)
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REOPEN_SHARE", 1.0)
+    counts = spark.createDataFrame([(None, 700)] * 400 + [(7, 300)] * 400, "doc_id long, tokens int")
+    got = packing.containers(counts, group_containers=16).collect()
+    fill = {}
+    for x in got:
+        fill[x.container] = fill.get(x.container, 0) + x.tokens
+    assert len(got) == 800 and sum(fill.values()) == 400_000 and max(fill.values()) <= 2048 and len(fill) <= 210
+    assert len({x.container.split("-")[1] for x in got if x.doc_id is None and x.container.startswith("0-")}) > 4

@@ -15,9 +15,14 @@ BRANCH = r"^(?:[^:;]*: )?\s*(\d+)\s*:\s*(.*)"
 DENIAL = r"(?i)([^.!?\n]+?)\s+(?:will|does|can)\s+not\s+(.+?)\s+if\s+DIP\s+switch\s+(\d+)\s+is\s+set\s+to\s+(ON|OFF)\b"
 
 
+def _with(units: DataFrame, *words: str) -> DataFrame:
+    """Units whose text has one of the words, whatever its case: a plain search that spares the others the patterns."""
+    return units.where(reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(w)) for w in words]))
+
+
 def note_definitions(units: DataFrame) -> DataFrame:
     """(manual_id, section_key, number, unit_id, page, extraction_method, text) of units that define a note."""
-    return units.select("manual_id", "section_key", X.own_note(F.col("text")).alias("number"), "unit_id", "page", "extraction_method", "text").where("number is not null")
+    return _with(units, "note", "*").select("manual_id", "section_key", X.own_note(F.col("text")).alias("number"), "unit_id", "page", "extraction_method", "text").where("number is not null")
 
 
 def note_references(units: DataFrame) -> DataFrame:
@@ -25,7 +30,7 @@ def note_references(units: DataFrame) -> DataFrame:
     the value of the branch, `2: see NOTE 7`, in whose line a note is referred to, the last one that is."""
     own = F.coalesce(X.own_note(F.col("text")), F.lit(""))
     lines = F.transform(F.split("text", "\n"), lambda x: F.named_struct(F.lit("notes"), X.note_numbers(x), F.lit("value"), F.regexp_extract(x, r"^\s*(\d+)\s*:", 1)))
-    u = units.select("unit_id", "manual_id", "section_key", "page", lines.alias("lines"), F.explode(F.array_except(X.note_numbers(F.col("text")), F.array(own))).alias("number"))
+    u = _with(units, "note", "*").select("unit_id", "manual_id", "section_key", "page", lines.alias("lines"), F.explode(F.array_except(X.note_numbers(F.col("text")), F.array(own))).alias("number"))
     branch = F.filter("lines", lambda x: F.array_contains(x["notes"], F.col("number")) & (x["value"] != ""))
     return u.withColumn("b", branch).select(
         "unit_id", "manual_id", "section_key", "page", "number", F.when(F.size("b") > 0, F.element_at(F.transform("b", lambda x: x["value"]), -1)).alias("when_value"))
@@ -79,7 +84,7 @@ def settings(units: DataFrame) -> DataFrame:
 def requirement_edges(units: DataFrame) -> DataFrame:
     """(src, dst, setting_id, required_value, tier): a unit and the setting it requires, that of its section, or else of its manual; a
     switch's row must have the required state."""
-    need = units.select("unit_id", "manual_id", "section_key", "page", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "manual_id", "section_key", "page", "r.setting_id", "r.value")
+    need = _with(units, "function", "dip").select("unit_id", "manual_id", "section_key", "page", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "manual_id", "section_key", "page", "r.setting_id", "r.value")
     s = settings(units)
     fits = ~F.col("setting_id").startswith("dip:") | (F.col("state") == F.col("value"))
     near = need.join(s, ["manual_id", "section_key", "setting_id"])
@@ -140,18 +145,18 @@ def warnings_of(units: DataFrame, first_pages: int = 4) -> DataFrame:
 
 def page_reference_edges(units: DataFrame) -> DataFrame:
     """(src, dst, label): a unit and every unit of the page of its manual that it refers to."""
-    ref = units.select(F.col("unit_id").alias("src"), "manual_id", F.explode(X.page_references(F.col("text"))).alias("label"))
+    ref = _with(units, "page").select(F.col("unit_id").alias("src"), "manual_id", F.explode(X.page_references(F.col("text"))).alias("label"))
     return ref.join(units.select("manual_id", F.col("page").cast("string").alias("label"), F.col("unit_id").alias("dst")), ["manual_id", "label"]).where("src <> dst").select("src", "dst", "label")
 
 
 def unresolved_pages(units: DataFrame) -> DataFrame:
     """(src, label) of references to a page that its manual has not."""
-    ref = units.select(F.col("unit_id").alias("src"), "manual_id", F.explode(X.page_references(F.col("text"))).alias("label"))
+    ref = _with(units, "page").select(F.col("unit_id").alias("src"), "manual_id", F.explode(X.page_references(F.col("text"))).alias("label"))
     return ref.join(units.select("manual_id", F.col("page").cast("string").alias("label")).distinct(), ["manual_id", "label"], "left_anti").select("src", "label")
 
 
 def _excludes(text: Column) -> Column:
-    return text.rlike(r"(?i)not\s+(necessary|required|applicable|available)|does\s+not\s+apply") & text.rlike(r"(?i)sub[- ]?class")
+    return F.contains(F.lower(text), F.lit("class")) & text.rlike(r"(?i)not\s+(necessary|required|applicable|available)|does\s+not\s+apply") & text.rlike(r"(?i)sub[- ]?class")
 
 
 def exceptions_of(units: DataFrame) -> DataFrame:
@@ -172,7 +177,7 @@ def hub_edges(units: DataFrame, first_pages: int = 4) -> DataFrame:
     general, paged = hub("manual", "manual_id"), hub("page", "manual_id", "page")
     flagged = units.withColumn("exception", F.coalesce(_excludes(F.col("text")), F.lit(False)))
     scope, noted = hub("section", "manual_id", "section_key"), hub("notes", "manual_id", "section_key")
-    plain = units.where(F.col("text").rlike(r"(?i)\bNOTE\s*:") & X.own_note(F.col("text")).isNull())
+    plain = _with(units, "note").where(F.col("text").rlike(r"(?i)\bNOTE\s*:") & X.own_note(F.col("text")).isNull())
     out = [_works(units).select("src", F.explode(F.array(general, paged)).alias("dst")), flagged.where("not exception").select(F.col("unit_id").alias("src"), scope.alias("dst")), units.where("kind = 'procedure'").select(F.col("unit_id").alias("src"), noted.alias("dst"))]
     into = [w.where(F.col("page") <= first_pages).select(general.alias("src"), "dst"), w.where(F.col("page") > first_pages).select(paged.alias("src"), "dst"), flagged.where("exception").select(scope.alias("src"), F.col("unit_id").alias("dst")), plain.select(noted.alias("src"), F.col("unit_id").alias("dst"))]
     reached = reduce(DataFrame.unionByName, into).distinct()
@@ -182,7 +187,7 @@ def hub_edges(units: DataFrame, first_pages: int = 4) -> DataFrame:
 
 def plain_notes_of(units: DataFrame) -> DataFrame:
     """(src, notes): procedures with the number of plain notes, `NOTE: …` without a number, that hold for their section."""
-    plain = units.where(F.col("text").rlike(r"(?i)\bNOTE\s*:") & X.own_note(F.col("text")).isNull())
+    plain = _with(units, "note").where(F.col("text").rlike(r"(?i)\bNOTE\s*:") & X.own_note(F.col("text")).isNull())
     n = plain.groupBy("manual_id", "section_key").agg(F.count("*").alias("notes"))
     own = plain.select(F.col("unit_id").alias("src"), F.lit(1).alias("own")).distinct()
     found = units.where("kind = 'procedure'").select("manual_id", "section_key", F.col("unit_id").alias("src")).join(n, ["manual_id", "section_key"]).join(own, "src", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import feeds, records, search, units
+from .plans import feeds, ingest, records, search, units
 
-QUERIES = search.QUERIES | units.QUERIES | records.QUERIES | feeds.QUERIES
-ORACLE = search.ORACLE | units.ORACLE | records.ORACLE | feeds.ORACLE
+QUERIES = search.QUERIES | units.QUERIES | records.QUERIES | feeds.QUERIES | ingest.QUERIES
+ORACLE = search.ORACLE | units.ORACLE | records.ORACLE | feeds.ORACLE | ingest.ORACLE

@@ -14,12 +14,30 @@ LEAST_CHARS, MOST_INTENTS = 15, 4
 MOST_TERMS, MOST_BYTES, LONGEST_TERM = 32, 480, 80
 
 
+# What parts a question besides the ends of its sentences, as patterns before which, or in place of which, a part ends,
+# and how a part begins that belongs to the one before.
+CONNECTED = r"\s+and\s+((?:after|once|the motor|the treadle|(?:the )?(?:sewing )?machine)\b|(?:mak\w*|produc\w*)\b[^.!?;]{0,50}\b(?:noise|sounds?)\b)"
+CONNECTED_BENGALI = r"\s+(?:এবং|আর)\s+(মেশিন|[^।.!?]{0,35}(?:আওয়াজ|আওয়াজ|সাউন্ড|শব্দ))"
+ADDED = r"\b(Additionally|Furthermore|Secondly)\b|(এছাড়া|এছাড়াও|অন্যদিকে)"
+CONTINUED = r"^(?:Previously\b|Before\b|আগে(?:\s|$)|প্যাডেল\s+তখন)"
+
+
 def intents(question: Column) -> Column:
-    """The parts of a question that tell of events of their own, each once; the question itself where there are fewer than two.
-    Null where there are more than MOST_INTENTS, as such a question must be narrowed, and for a null question."""
-    parts = F.split(F.regexp_replace(question, r"([.!?;।])\s+|\n\s*\n", "$1\u001f"), "\u001f")
-    parts = F.array_distinct(F.filter(F.transform(parts, F.btrim), lambda p: (F.length(p) >= LEAST_CHARS) & p.rlike(EVENTS)))
-    return F.when(F.size(parts) <= 1, F.array(question)).when(F.size(parts) <= MOST_INTENTS, parts)
+    """The parts of a question that tell of events of their own, each once; the question itself where there are fewer than two. A part
+    that goes on from the one before (`Before …`) is joined to it. Null where there are more than MOST_INTENTS, as such a question
+    must be narrowed, and for a null question."""
+    cut = F.regexp_replace(question, r"([.!?;।])\s+|\n\s*\n", "$1\u001f")
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(cut, f"(?i){CONNECTED}", "\u001f$1"), CONNECTED_BENGALI, "\u001f$1"), f"(?i){ADDED}", "\u001f$1$2")
+    parts = F.filter(F.transform(F.split(cut, "\u001f"), lambda p: F.btrim(p)), lambda p: (F.length(p) >= LEAST_CHARS) & p.rlike(EVENTS))
+
+    def joined(done: Column, part: Column) -> Column:
+        last = F.element_at(done, F.size(done))
+        on = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), part)))
+        return F.when((F.size(done) > 0) & part.rlike(f"(?i){CONTINUED}"), on).otherwise(F.array_append(done, part))
+
+    found = F.aggregate(parts, F.array().cast("array<string>"), joined)
+    distinct = F.array_distinct(found)
+    return F.when(F.size(found) > MOST_INTENTS, None).when(F.size(found) <= 1, F.array(question)).when(found.isNotNull(), distinct)
 
 
 def merged_intents(found: DataFrame, limit: int) -> DataFrame:

@@ -51,7 +51,10 @@ def corpus_digest(spark, folder):
 
 
 def equal_pages(spark, folder):
-    return D.equal_pages(table(spark, folder, "chunks", "manual_id", "page", "ordinal", "text")).where("n_pages > 1").select("n_pages", "first_page")
+    """Pages of the manuals, and bulletins of the sources as pages of their own, that hold the same texts."""
+    pages = table(spark, folder, "chunks", "manual_id", "page", "ordinal", "text")
+    bulletins = table(spark, folder, "documents", F.col("source").alias("manual_id"), F.col("doc_id").cast("int").alias("page"), F.lit(0).alias("ordinal"), "text")
+    return D.equal_pages(pages.unionByName(bulletins)).where("n_pages > 1").select("n_pages", "first_page")
 
 
 def upsert_feedback(spark, folder):
@@ -156,8 +159,11 @@ def search_word_error(spark, folder):
 
 
 def heading_keys(spark, folder):
-    line = table(spark, folder, "documents", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return line.select("doc_id", "line", X.heading_key(F.col("t")).alias("key")).where("key is not null")
+    """Headings among the lines of documents and chunks, and the numbered headings that drafts stand under."""
+    of = lambda name, key: table(spark, folder, name, F.lit(name).alias("item_table"), F.col(key).cast("string").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    drafts = table(spark, folder, "unit_drafts", F.lit("unit_drafts").alias("item_table"), F.col("draft_id").alias("item_id"), F.lit(0).alias("line"), F.concat_ws(" ", "section_key", "title").alias("t"))
+    line = of("documents", "doc_id").unionByName(of("chunks", "id")).unionByName(drafts)
+    return line.select("item_table", "item_id", "line", X.heading_key(F.col("t")).alias("key")).where("key is not null").distinct()
 
 
 def chunk_windows(spark, folder):
@@ -228,7 +234,7 @@ ORACLE = {
     "library_metrics": "SELECT status, count(*) AS manuals, CAST(sum(pages) AS BIGINT) AS pages FROM manuals GROUP BY status",
     "dedup_by_sha256": "SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
     "corpus_digest": f"WITH h AS (SELECT {_H} AS h FROM documents) SELECT count(*) AS n, concat_ws('-', " + ", ".join(f"CAST(sum(CAST(concat('0x', h[{1 + 12 * k}:{12 + 12 * k}]) AS HUGEINT)) AS VARCHAR)" for k in range(4)) + ") AS digest FROM h",
-    "equal_pages": "WITH p AS (SELECT manual_id, page, string_agg(sha256(text), ',' ORDER BY ordinal, sha256(text)) AS hs FROM (SELECT DISTINCT manual_id, page, ordinal, text FROM chunks WHERE text IS NOT NULL) GROUP BY ALL) SELECT count(*) AS n_pages, min(concat_ws(':', manual_id, page)) AS first_page FROM p GROUP BY hs HAVING count(*) > 1",
+    "equal_pages": "WITH p AS (SELECT manual_id, page, string_agg(sha256(text), ',' ORDER BY ordinal, sha256(text)) AS hs FROM (SELECT manual_id, page, ordinal, text FROM chunks WHERE text IS NOT NULL UNION SELECT source, CAST(doc_id AS INTEGER), 0, text FROM documents WHERE text IS NOT NULL) GROUP BY ALL) SELECT count(*) AS n_pages, min(concat_ws(':', manual_id, page)) AS first_page FROM p GROUP BY hs HAVING count(*) > 1",
     "upsert_feedback": f"WITH {_FEEDBACK} SELECT * FROM f",
     "export_feedback_guarded": f"WITH {_FEEDBACK}, q AS (SELECT DISTINCT id AS query_id, question, status FROM queries) SELECT query_id, {', '.join(_GUARD.format(c) for c in ('question', 'status', 'verdict', 'note'))} FROM q JOIN f USING (query_id)",
     "feedback_by_verdict": f"WITH {_FEEDBACK}, q AS (SELECT DISTINCT id AS query_id, lower(trim(status)) AS status FROM queries) SELECT status, verdict, count(*) AS n FROM q LEFT JOIN f USING (query_id) GROUP BY ALL",
@@ -256,9 +262,11 @@ ORACLE = {
     "question_models": f"WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL) SELECT id, unnest({_MODELS.format('question')}) AS model FROM q",
     "model_scope_resolution": f"WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL), a AS (SELECT model, count(*) AS questions FROM (SELECT unnest({_MODELS.format('question')}) AS model FROM q) GROUP BY model), t AS (SELECT model, count(*) AS manuals FROM (SELECT unnest({_MODELS.format('title')}) AS model FROM manuals) GROUP BY model) SELECT model, questions, coalesce(manuals, 0) AS manuals FROM a LEFT JOIN t USING (model)",
     "translation_number_drift": f"WITH q AS (SELECT DISTINCT id, {_DIGITS.format('question')} AS a, {_DIGITS.format('search_question')} AS b FROM queries WHERE question IS NOT NULL AND search_question IS NOT NULL) SELECT DISTINCT id, list_sort(regexp_extract_all(a, '[0-9]+(?:\\.[0-9]+)?')) = list_sort(regexp_extract_all(b, '[0-9]+(?:\\.[0-9]+)?')) AS same_numbers, list_sort({_MODELS.format('a')}) = list_sort({_MODELS.format('b')}) AS same_models FROM q",
-    "heading_keys": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line FROM documents), s AS (SELECT doc_id, line, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM l),
-      k AS (SELECT doc_id, line, regexp_extract(t, '^(\\d+(?:[-.]\\d+)*)\\.? +[A-Za-z]', 1) AS key, regexp_extract(t, '^\\d+(?:[-.]\\d+)*\\.? +([A-Za-z].*)$', 1) AS title, t FROM s)
-      SELECT doc_id, line, rtrim(key, '.') AS key FROM k WHERE key <> '' AND length(t) <= 180 AND (contains(key, '-') OR length(regexp_replace(title, '[^A-Z]+', '', 'g')) >= 0.8 * length(regexp_replace(title, '[^A-Za-z]+', '', 'g')))""",
+    "heading_keys": """WITH i AS (SELECT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id, text FROM documents UNION ALL SELECT 'chunks', id, text FROM chunks),
+      s AS (SELECT item_table, item_id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line FROM i UNION ALL SELECT 'unit_drafts', draft_id, concat_ws(' ', section_key, title), 0 FROM unit_drafts),
+      l AS (SELECT item_table, item_id, line, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM s),
+      k AS (SELECT item_table, item_id, line, regexp_extract(t, '^(\\d+(?:[-.]\\d+)*)\\.? +[A-Za-z]', 1) AS key, regexp_extract(t, '^\\d+(?:[-.]\\d+)*\\.? +([A-Za-z].*)$', 1) AS title, t FROM l)
+      SELECT DISTINCT item_table, item_id, line, rtrim(key, '.') AS key FROM k WHERE key <> '' AND length(t) <= 180 AND (contains(key, '-') OR length(regexp_replace(title, '[^A-Z]+', '', 'g')) >= 0.8 * length(regexp_replace(title, '[^A-Za-z]+', '', 'g')))""",
     "search_text_builder": """WITH p AS (SELECT DISTINCT draft_id, list_concat([title, text], CASE WHEN coalesce(condition_text, '') <> '' THEN ['Condition: ' || condition_text] ELSE [] END, CASE WHEN coalesce(cause, '') <> '' THEN ['Cause: ' || cause] ELSE [] END,
       list_transform(coalesce(checks, []), lambda x: 'Check: ' || x), list_transform(coalesce(actions, []), lambda x: 'Action: ' || x), list_transform(coalesce(warnings, []), lambda x: 'Warning: ' || x)) AS l FROM unit_drafts),
       e AS (SELECT draft_id, l, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM p), f AS (SELECT draft_id, l, x, min(i) AS i FROM e WHERE x IS NOT NULL AND x <> '' GROUP BY ALL)

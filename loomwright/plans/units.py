@@ -12,7 +12,7 @@ from ..operators import layout as Y
 from ..operators import linking as L
 from ..session import materialise
 from ..tables import table
-from .views import BOXES, EDGES, UNITS, given_units, view
+from .views import BOXES, EDGES, GIVEN as GIVEN_SQL, UNITS, given_units, view
 
 
 def _units(spark, folder):
@@ -182,7 +182,7 @@ def _unique(owner: str, pairs: str) -> str:
 
 
 _NOTE = f"{_U}, {_DEF}, " + _unique("unit_id, number", "SELECT r.unit_id, r.number, r.page, d.unit_id AS target, d.page AS t_page, d.extraction_method AS t_method, d.text AS t_text FROM r JOIN d ON d.manual_id = r.manual_id AND d.section_key = r.section_key AND d.own = r.number") + ", ne AS (SELECT unit_id AS src, target AS dst, number, CAST(NULL AS VARCHAR) AS when_value FROM p3 WHERE target IS NOT NULL AND target <> unit_id)"
-_REQ = """q AS (SELECT unit_id, manual_id, section_key, page, concat('function:', regexp_extract(text, 'Function No. (\\d+) is set to "(\\d)"', 1)) AS setting_id, regexp_extract(text, 'is set to "(\\d)"', 1) AS value FROM u WHERE unit_id % 4 = 0)"""
+_REQ = """q AS (SELECT unit_id, manual_id, section_key, page, concat('function:', regexp_extract(text, 'Function No. (\\d+) is set to "(\\d)"', 1)) AS setting_id, regexp_extract(text, 'is set to "(\\d)"', 1) AS value FROM u WHERE unit_id % 4 = 0 AND text NOT LIKE '%disabled%' AND text NOT LIKE '%" or "%')"""
 _TIER = f"""{_U}, {_REQ}, s AS (SELECT manual_id, section_key, concat('function:', regexp_extract(text, '^No.: (\\d+)', 1)) AS setting_id, unit_id AS target, page AS t_page, extraction_method AS t_method, text AS t_text FROM u WHERE kind = 'table'),
   near AS (SELECT q.unit_id, q.setting_id, q.value, q.page, target, t_page, t_method, t_text, 'section' AS tier FROM q JOIN s USING (manual_id, section_key, setting_id)),
   far AS (SELECT q.unit_id, q.setting_id, q.value, q.page, target, t_page, t_method, t_text, 'manual' AS tier FROM q JOIN s USING (manual_id, setting_id) WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.unit_id = q.unit_id AND near.setting_id = q.setting_id)), """ + _unique("unit_id, setting_id, value, tier", "SELECT * FROM near UNION ALL SELECT * FROM far") + ", re AS (SELECT unit_id AS src, target AS dst, setting_id, value AS required_value, tier FROM p3 WHERE target IS NOT NULL AND target <> unit_id)"
@@ -225,3 +225,23 @@ ORACLE = {
       SELECT unit_id, 'undeclared_setting' AS code FROM q WHERE (manual_id, setting_id) NOT IN (SELECT (manual_id, setting_id) FROM dc)
       UNION SELECT unit_id, 'citation_missing' FROM r WHERE (unit_id, number) NOT IN (SELECT (src, number) FROM ne)""",
 }
+
+# the given units under the same SQL, where it doesn't lean on the arithmetic of the view
+_GREFS = GIVEN_SQL + ", pr AS (SELECT DISTINCT unit_id AS src, manual_id, unnest(list_distinct(regexp_extract_all(text, '(?i)\\b(?:refer to|see|on) page\\s+(\\d+)', 1))) AS label FROM u)"
+_GWORKS = GIVEN_SQL + """, w AS (SELECT DISTINCT unit_id, manual_id, page FROM u WHERE regexp_matches(text, 'WARNING|CAUTION|DANGER')),
+      o AS (SELECT DISTINCT unit_id, manual_id, page FROM u WHERE kind IN ('procedure', 'table') OR regexp_matches(text, '(?i)\\b(adjust|remove|install|disconnect|tighten|loosen|lubricate)\\b'))"""
+ORACLE |= {
+    "given_page_reference_edges": f"WITH {_GREFS} SELECT src, unit_id AS dst, label FROM pr JOIN u ON u.manual_id = pr.manual_id AND CAST(u.page AS VARCHAR) = label WHERE src <> unit_id",
+    "given_unresolved_page_refs": f"WITH {_GREFS} SELECT src, label FROM pr WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.manual_id = pr.manual_id AND CAST(u.page AS VARCHAR) = label)",
+    "given_warning_edges": f"WITH {_GWORKS}, e AS (SELECT o.unit_id AS src, w.unit_id AS dst FROM o JOIN w ON o.manual_id = w.manual_id AND (w.page <= 4 OR w.page = o.page) WHERE o.unit_id <> w.unit_id) SELECT src, count(*) AS warnings, min(dst) AS first FROM e GROUP BY src",
+    "given_release_manifest": f"WITH {GIVEN_SQL} SELECT manual_id, count(*) AS units, CAST(0 AS BIGINT) AS blocked, count(*) FILTER (kind = 'table') AS tables, CAST(0 AS BIGINT) AS note_edges, CAST(0 AS BIGINT) AS prerequisite_edges FROM u GROUP BY manual_id",
+    "given_applicability_status": f"""WITH {GIVEN_SQL}, m AS (SELECT unit_id, upper(regexp_replace(text, '\\[\\s*\\]|[□▯]', '?', 'g')) AS t, regexp_matches(text, '(?i)not\\s+(necessary|required|applicable|available)|does\\s+not\\s+apply') AND regexp_matches(text, '(?i)sub[- ]?class') AS exception FROM u),
+      p AS (SELECT unit_id, exception, list_distinct(list_concat(regexp_extract_all(t, 'SUB[- ]?CLASS\\s+(-[0-9A-Z?]{{2,5}})(?:[^0-9A-Z]|$)', 1), list_transform(flatten(list_transform(regexp_extract_all(t, '\\((-[0-9A-Z? /]+)\\)', 1), lambda g: regexp_extract_all(g, '(?:-|/\\s*)([0-9][0-9A-Z?]{{1,4}})', 1))), lambda x: '-' || x))) AS a FROM m)
+      SELECT unit_id, array_to_string(a, ',') AS patterns, CASE WHEN exception AND list_contains(a, '-47A') THEN 'excluded' WHEN len(a) > 0 AND NOT exception THEN CASE WHEN list_contains(a, '-47A') THEN 'within' ELSE 'outside' END ELSE 'not_established' END AS status FROM p""",
+    "given_evidence_closure": f"""WITH RECURSIVE {_GREFS}, w AS (SELECT DISTINCT unit_id, manual_id, page FROM u WHERE regexp_matches(text, 'WARNING|CAUTION|DANGER')),
+      o AS (SELECT DISTINCT unit_id, manual_id, page FROM u WHERE kind IN ('procedure', 'table') OR regexp_matches(text, '(?i)\\b(adjust|remove|install|disconnect|tighten|loosen|lubricate)\\b')),
+      x AS (SELECT unit_id, manual_id, section_key, regexp_matches(text, '(?i)not\\s+(necessary|required|applicable|available)|does\\s+not\\s+apply') AND regexp_matches(text, '(?i)sub[- ]?class') AS exception FROM u),
+      e AS (SELECT o.unit_id AS src, w.unit_id AS dst FROM o JOIN w ON o.manual_id = w.manual_id AND (w.page <= 4 OR w.page = o.page) UNION SELECT a.unit_id, b.unit_id FROM x a JOIN x b USING (manual_id, section_key) WHERE NOT a.exception AND b.exception),
+      s AS (SELECT unit_id AS query_id, unit_id AS node FROM u UNION SELECT src, unit_id FROM pr JOIN u ON u.manual_id = pr.manual_id AND CAST(u.page AS VARCHAR) = label),
+      c AS (SELECT query_id, node FROM s UNION SELECT c.query_id, e.dst FROM c JOIN e ON e.src = c.node) SELECT DISTINCT query_id, node FROM c""",
+}

@@ -226,3 +226,5 @@ def test_key_terms_and_intents(spark):
     assert got == {"hot": want, "a": ["Wheel"]}
     asked = spark.createDataFrame([("The motor stops suddenly. The thread breaks at once! Thanks a lot.",), ("Why?",), (None,), (" ".join(f"The motor number {i} stops here." for i in range(5)),)], "q string")
     assert [x.i for x in asked.select(T.intents(F.col("q")).alias("i")).collect()] == [["The motor stops suddenly.", "The thread breaks at once!"], ["Why?"], None, None]
+    more = spark.createDataFrame([("The needle hits the plate and the motor stops at once. Before that the thread was loose.",), ("The pedal is stuck now Additionally the oil drips down",), ("সুতা ছিঁড়ে যায় বারবার এবং মেশিন থেকে শব্দ হয়",)], "q string")
+    assert [x.i for x in more.select(T.intents(F.col("q")).alias("i")).collect()] == [["The needle hits the plate", "the motor stops at once. Before that the thread was loose."], ["The pedal is stuck now", "Additionally the oil drips down"], ["সুতা ছিঁড়ে যায় বারবার", "মেশিন থেকে শব্দ হয়"]]

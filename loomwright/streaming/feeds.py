@@ -100,5 +100,5 @@ def hourly_events(spark: SparkSession, path: str, watermark: str = "2 days") ->
     counts = counts.select(F.col("window.start").alias("start"), "event_type", "n", "value")
     sink = counts.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     sink.foreachBatch(lambda batch, number: batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{root}/log/batch={number}")).start().awaitTermination()
-    last = latest(_log(spark, root, counts.schema.add("number", "int")), ["start", "event_type"], "number")
+    last = latest(_log(spark, root, counts.schema.add("number", "integer")), ["start", "event_type"], "number")
     return last.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: A line is excessive in at least so many distinct documents of its source, and in at least this share of them.
 LEAST_DOCUMENTS, LEAST_SHARE = 5, 0.10
 
@@ -52,7 +54,8 @@ def repeated_lines(documents: DataFrame, doc_id: str = "id", source: str = "manu
     without letters, null and empty texts give no rows; documents with a null source form no source and give none; repeated
     rows and texts under several ids count once; an empty table gives an empty result; other columns are not read.
     """
-    line = lines(documents.where(F.col(source).isNotNull()), doc_id, source, text, published)
+    # split and hashed once, as lines are counted, documents are, and lines are looked up
+    line = materialise(lines(documents.where(F.col(source).isNotNull()), doc_id, source, text, published), "lines")
     found = excessive(line, line.select("source", "cluster"))
     return line.join(found, ["source", "key"]).select("doc_id", "line_no").distinct()
 

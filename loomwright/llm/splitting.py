@@ -69,12 +69,14 @@ def pieces(items: DataFrame, item_id: str, text: str, limit: int = LIMIT, overla
     texts give no piece; repeated rows count once; an item of several texts has the pieces of each.
     """
     base = items.select(F.col(item_id).alias("item_id"), squeezed(F.col(text)).alias("text")).where("text <> ''")
-    seg = F.when(F.length("text") > limit, segments(F.col("text"), limit, overlap)).otherwise(F.array("text"))
-    base = base.withColumn("seg", seg).select("item_id", "seg", F.posexplode("seg").alias("ordinal", "own"))
-    before = F.when(F.col("ordinal") > 0, F.element_at("seg", F.greatest(F.col("ordinal"), F.lit(1)))).otherwise("")
+    base = base.withColumn("seg", F.when(F.length("text") > limit, segments(F.col("text"), limit, overlap)).otherwise(F.array("text")))
+    seg = F.col("seg")
+    # each segment goes along with the end of the one before, not with all of them
+    pairs = F.transform(seg, lambda own, i: F.named_struct(F.lit("own"), own, F.lit("last"), F.when(i > 0, F.right(F.get(seg, i - 1), F.lit(overlap + 1))).otherwise(F.lit(""))))
+    base = base.select("item_id", F.posexplode(pairs).alias("ordinal", "p")).select("item_id", "ordinal", "p.own", F.col("p.last").alias("before"))
     own = F.rtrim(F.regexp_replace("own", r"\s+\z", ""))
     room = F.least(F.lit(overlap), limit - F.length(own))
-    tail = F.when(room > 0, F.substring(before, F.greatest(F.lit(1), F.length(before) - room + 1), room)).otherwise("")
+    tail = F.when(room > 0, F.right("before", room)).otherwise("")
     # from the start of a word, unless the tail is one word
-    whole = F.when(F.length(tail) < F.length(before), F.regexp_replace(tail, r"\A\S{1,40}\s+(?=\S)", "")).otherwise(tail)
+    whole = F.when(F.length(tail) < F.length("before"), F.regexp_replace(tail, r"\A\S{1,40}\s+(?=\S)", "")).otherwise(tail)
     return base.select("item_id", "ordinal", F.regexp_replace(F.concat(whole, own), r"\A\s+", "").alias("text")).distinct()

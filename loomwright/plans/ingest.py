@@ -235,6 +235,12 @@ def _unit(u: str) -> str:
 _NOISY = f"(NOT {_has('question', X.ELECTRICAL)} AND {_has('question', X.HEARD)})"
 
 ORACLE = {
+    "paragraph_units": """WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL),
+      p AS (SELECT id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(31), 'g'), '(?im)^(\\s*(?:\\(NOTE\\s+\\d+\\)|\\*\\s*\\d+\\s+[A-Za-z]))', chr(31) || '\\1', 'g'), chr(31)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM c),
+      u AS (SELECT id, text, unnest(l) AS part, generate_subscripts(l, 1) AS k FROM p),
+      s AS (SELECT id, text, k, CASE WHEN len(string_split_regex(part, '\\s+')) <= 250 THEN [part] ELSE string_split(regexp_replace(part, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)) END AS parts FROM u),
+      r AS (SELECT id, text, k, list_reduce(list_transform(parts, lambda x: [x]), lambda a, x: CASE WHEN len(string_split_regex(a[len(a)] || ' ' || x[1], '\\s+')) > 250 THEN list_append(a, x[1]) ELSE list_append(a[1:len(a) - 1], a[len(a)] || ' ' || x[1]) END) AS packed FROM s),
+      f AS (SELECT id, text, flatten(list(packed ORDER BY k)) AS l FROM r GROUP BY ALL) SELECT id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS part, unnest(l) AS text FROM f""",
     "table_units": f"WITH {_ROWS} SELECT draft_id AS unit_id, CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS INTEGER) AS row, concat_ws(chr(10), title, 'Column headers: ' || array_to_string(h, '; ')) AS text FROM r0 UNION SELECT concat_ws('#', draft_id, row_no), draft_id, row_no, text FROM r",
     "searchable_drafts": "SELECT DISTINCT draft_id, NOT (kind = 'table' AND (len(list_filter(flatten(table_rows), lambda c: c IS NULL)) > 0 OR len(list_filter(table_headers, lambda h: coalesce(h, '') = '')) > 0 OR (parent_key IS NULL AND len(table_rows) > 1))) AS searchable FROM unit_drafts",
     "inherited_sections": """WITH d AS (SELECT DISTINCT draft_id, manual_id, page, coalesce(section_key, '') AS own FROM unit_drafts), o AS (SELECT manual_id, page, any_value(own) AS a FROM d WHERE own <> '' GROUP BY ALL HAVING count(DISTINCT own) = 1)

@@ -64,7 +64,7 @@ def upsert_feedback(spark, folder):
 def export_feedback_guarded(spark, folder):
     f = upsert_feedback(spark, folder).withColumnRenamed("created_at", "given_at")
     q = _queries(spark, folder, F.col("id").alias("query_id"), "question", "status").distinct()
-    return q.join(f, "query_id").select("query_id", *[D.guarded(F.col(c)).alias(c) for c in ("question", "status", "verdict", "note")])
+    return q.join(f, "query_id", "left").select("query_id", *[D.guarded(F.col(c)).alias(c) for c in ("question", "status", "verdict", "note")])
 
 
 def feedback_by_verdict(spark, folder):
@@ -224,7 +224,23 @@ _MODELS = ("list_distinct(list_transform(list_filter(regexp_extract_all(concat('
            f"lambda m: NOT regexp_matches(m, '^(?:{'|'.join(X.STANDARDS)})(?:-|  )?\\d|^(?:{'|'.join(X.QUANTITY_WORDS)})  ')), lambda m: regexp_replace(m, '[- ]', '', 'g')))")
 _H = "sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(text, chr(0))))"
 
+_STOP_AT = "coalesce(" + ", ".join(f"nullif(length(regexp_extract(own, '^(?s:.{{550,}}){b}')), 0)" for b in ("\\n\\n", "\\n", "\\. ", "। ")) + ", 1100)"
+_STEP = f"SELECT item_table, id, t, n + 1 AS n, last, CASE WHEN last THEN length(t) ELSE pos + {_STOP_AT} - 180 END AS pos, regexp_replace(CASE WHEN last THEN own ELSE own[1:{_STOP_AT}] END, '^\\s+|\\s+$', '', 'g') AS piece"
+
 ORACLE = {
+    "chunk_windows": f"""WITH RECURSIVE i AS (SELECT 'chunks' AS item_table, id, text FROM chunks UNION SELECT 'documents', CAST(doc_id AS VARCHAR), text FROM documents),
+      s AS (SELECT item_table, id, regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM i WHERE text IS NOT NULL),
+      w AS ({_STEP} FROM (SELECT item_table, id, t, -1 AS n, 0 AS pos, t[1:1100] AS own, length(t) <= 1100 AS last FROM s WHERE t <> '')
+        UNION ALL {_STEP} FROM (SELECT item_table, id, t, n, pos, t[pos + 1:pos + 1100] AS own, pos + 1100 >= length(t) AS last FROM w WHERE NOT last))
+      SELECT item_table, id, CAST(row_number() OVER (PARTITION BY item_table, id, t ORDER BY n) - 1 AS INTEGER) AS ordinal, piece FROM w WHERE piece <> ''""",
+    "search_word_error": """WITH q AS (SELECT DISTINCT id, regexp_extract_all(lower(question), '[\\p{L}\\p{M}\\p{N}]+') AS a, regexp_extract_all(lower(search_question), '[\\p{L}\\p{M}\\p{N}]+') AS b, question, search_question FROM queries WHERE question IS NOT NULL AND search_question IS NOT NULL),
+      d AS (SELECT id, a, b, question, search_question, list_distinct(list_concat(a, b)) AS v FROM q), c AS (SELECT id, len(a) AS n, array_to_string(list_transform(a, lambda w: chr(32 + CAST(list_position(v, w) AS INTEGER))), '') AS x, array_to_string(list_transform(b, lambda w: chr(32 + CAST(list_position(v, w) AS INTEGER))), '') AS y FROM d)
+      SELECT id, round(levenshtein(x, y) / greatest(1, n), 4) AS wer FROM c""",
+    "manual_keyterms": """WITH t AS (SELECT manual_id AS owner, trim(regexp_replace(title, ' \\d+$', '')) AS term FROM unit_drafts WHERE title IS NOT NULL AND manual_id IS NOT NULL),
+      o AS (SELECT owner, lower(term) AS folded, min(term) AS term FROM t WHERE length(term) BETWEEN 1 AND 80 AND NOT regexp_matches(term, '[,;:]') GROUP BY ALL),
+      l AS (SELECT owner, list(term ORDER BY folded) AS l FROM o GROUP BY owner),
+      r AS (SELECT owner, list_reduce(list_prepend({'size': 0, 'terms': CAST([] AS VARCHAR[])}, list_transform(l, lambda x: {'size': CAST(strlen(x) + 1 AS INTEGER), 'terms': [x]})), lambda s, x: CASE WHEN len(s.terms) < 32 AND s.size + x.size <= 480 THEN {'size': s.size + x.size, 'terms': list_concat(s.terms, x.terms)} ELSE s END).terms AS terms FROM l)
+      SELECT owner, CAST(generate_subscripts(terms, 1) - 1 AS INTEGER) AS position, unnest(terms) AS term FROM r""",
     "question_intents": f"""WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL), p AS (SELECT id, question, list_filter(list_transform(string_split(regexp_replace(question, '([.!?;।])\\s+|\\n\\s*\\n', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: length(x) >= 15 AND regexp_matches(x, '{T.EVENTS}')) AS a FROM q),
       u AS (SELECT id, question, a, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM p), r AS (SELECT id, CASE WHEN len(d) <= 1 THEN [question] WHEN len(d) <= 4 THEN d END AS l FROM u)
       SELECT id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS part, unnest(l) AS intent FROM r""",
@@ -236,7 +252,7 @@ ORACLE = {
     "corpus_digest": f"WITH h AS (SELECT {_H} AS h FROM documents) SELECT count(*) AS n, concat_ws('-', " + ", ".join(f"CAST(sum(CAST(concat('0x', h[{1 + 12 * k}:{12 + 12 * k}]) AS HUGEINT)) AS VARCHAR)" for k in range(4)) + ") AS digest FROM h",
     "equal_pages": "WITH p AS (SELECT manual_id, page, string_agg(sha256(text), ',' ORDER BY ordinal, sha256(text)) AS hs FROM (SELECT manual_id, page, ordinal, text FROM chunks WHERE text IS NOT NULL UNION SELECT source, CAST(doc_id AS INTEGER), 0, text FROM documents WHERE text IS NOT NULL) GROUP BY ALL) SELECT count(*) AS n_pages, min(concat_ws(':', manual_id, page)) AS first_page FROM p GROUP BY hs HAVING count(*) > 1",
     "upsert_feedback": f"WITH {_FEEDBACK} SELECT * FROM f",
-    "export_feedback_guarded": f"WITH {_FEEDBACK}, q AS (SELECT DISTINCT id AS query_id, question, status FROM queries) SELECT query_id, {', '.join(_GUARD.format(c) for c in ('question', 'status', 'verdict', 'note'))} FROM q JOIN f USING (query_id)",
+    "export_feedback_guarded": f"WITH {_FEEDBACK}, q AS (SELECT DISTINCT id AS query_id, question, status FROM queries) SELECT query_id, {', '.join(_GUARD.format(c) for c in ('question', 'status', 'verdict', 'note'))} FROM q LEFT JOIN f USING (query_id)",
     "feedback_by_verdict": f"WITH {_FEEDBACK}, q AS (SELECT DISTINCT id AS query_id, lower(trim(status)) AS status FROM queries) SELECT status, verdict, count(*) AS n FROM q LEFT JOIN f USING (query_id) GROUP BY ALL",
     "export_study": "SELECT t.id, trial_condition, scenario, t.status, count(DISTINCT q.id) AS questions FROM trials t LEFT JOIN queries q ON q.trial_id = t.id GROUP BY ALL",
     "trial_elapsed": "SELECT id, round(CASE WHEN ended_at IS NULL OR created_at IS NULL THEN 0.0 ELSE greatest(0.0, (epoch_us(ended_at) - epoch_us(created_at)) / 1e6) END, 3) AS elapsed FROM trials",

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch
 from ..tables import latest
 
 #: Parts of a store by hash of the key, and batches after which a log is made one base.
@@ -51,7 +49,7 @@ def append_new(spark: SparkSession, feed: DataFrame, key: str, store: str, check
 
 def new_chunks(spark: SparkSession, path: str) -> DataFrame:
     """All chunks of a feed, each delivered content once, through a store in the shared folder."""
-    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    root = scratch(spark, "feed")
     append_new(spark, stream(spark, path), "id", f"{root}/store", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/store").drop("batch", "content", "bucket")
 
@@ -86,7 +84,7 @@ def _log(spark: SparkSession, root: str, schema, last: int | None = None) -> Dat
 
 def latest_feedback(spark: SparkSession, path: str) -> DataFrame:
     """The latest row of each query of a feedback feed."""
-    root, feed = f"{shared_dir(spark)}/feedback-{uuid.uuid4().hex}", stream(spark, path)
+    root, feed = scratch(spark, "feedback"), stream(spark, path)
     logged(spark, feed, ["query_id"], "created_at", root)
     return latest(_log(spark, root, feed.schema), ["query_id"], "created_at")
 
@@ -94,7 +92,7 @@ def latest_feedback(spark: SparkSession, path: str) -> DataFrame:
 def hourly_events(spark: SparkSession, path: str, watermark: str = "2 days") -> DataFrame:
     """Events by hour and type, counted as they come. An hour closes, and its state is dropped, when the watermark passes its end;
     rows later than that are left out. Each batch writes the counts it changed, of which the last holds."""
-    root = f"{shared_dir(spark)}/hourly-{uuid.uuid4().hex}"
+    root = scratch(spark, "hourly")
     rows = stream(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", watermark)
     counts = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     counts = counts.select(F.col("window.start").alias("start"), "event_type", "n", "value")

@@ -128,5 +128,14 @@ def test_given_texts_are_linked(spark, tmp_path):
     assert {x for x in got if x[0] == "d"} == {("d", "d", None), ("d", "d#0", "3"), ("d", "m:9:0#0", None)} and ("m:1:0#0", "m:1:0#1", None) in got
 
 
+def test_written_tables_are_cleared(spark, tmp_path):
+    from loomwright import session
+
+    session.clear(spark)
+    t = session.materialise(spark.range(3).toDF("i"), "t")
+    path = session._written[-1]
+    assert t.count() == 3 and os.path.exists(path) and session.clear(spark) == 1 and not os.path.exists(path)
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60

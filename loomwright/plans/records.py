@@ -139,8 +139,9 @@ def question_models(spark, folder):
 
 
 def model_scope_resolution(spark, folder):
-    """Models asked about and the manuals whose title names them; null where no manual covers a model."""
-    titles = table(spark, folder, "manuals", F.col("id").alias("manual_id"), F.explode(X.model_ids(F.col("title"))).alias("model"))
+    """Models asked about and the number of manuals whose title or file name names them; 0 where no manual covers a model."""
+    named = F.array_union(F.coalesce(X.model_ids(F.col("title")), F.array()), F.coalesce(X.model_ids(F.replace("filename", F.lit("_"), F.lit(" "))), F.array()))
+    titles = table(spark, folder, "manuals", F.col("id").alias("manual_id"), F.explode(named).alias("model"))
     asked = question_models(spark, folder).groupBy("model").agg(F.count("*").alias("questions"))
     return asked.join(titles.groupBy("model").agg(F.count("*").alias("manuals")), "model", "left").select("model", "questions", F.coalesce("manuals", F.lit(0)).alias("manuals"))
 
@@ -222,6 +223,7 @@ _DIGITS = "translate({0}, '" + "".join(chr(ord(z) + i) for z in X.DIGIT_ZEROS fo
 _PLAIN = "regexp_replace(regexp_replace(" + _DIGITS + ", '([A-Za-z0-9])[‐‑‒–—−]([A-Za-z0-9])', '\\1-\\2', 'g'), '([A-Za-z0-9])[‐‑‒–—−]([A-Za-z0-9])', '\\1-\\2', 'g')"
 _MODELS = ("list_distinct(list_transform(list_filter(regexp_extract_all(concat(' ', replace(upper(" + _PLAIN + "), ' ', '  ')), '(?:^|[^A-Z0-9])([A-Z]{{1,6}}(?:-|  )?\\d{{3,5}}[A-Z]{{0,3}}(?:-[A-Z0-9]{{1,5}})?)(?:[^A-Z0-9]|$)', 1), "
            f"lambda m: NOT regexp_matches(m, '^(?:{'|'.join(X.STANDARDS)})(?:-|  )?\\d|^(?:{'|'.join(X.QUANTITY_WORDS)})  ')), lambda m: regexp_replace(m, '[- ]', '', 'g')))")
+_FILE = "replace(filename, '_', ' ')"
 _H = "sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), coalesce(text, chr(0))))"
 
 _STOP_AT = "coalesce(" + ", ".join(f"nullif(length(regexp_extract(own, '^(?s:.{{550,}}){b}')), 0)" for b in ("\\n\\n", "\\n", "\\. ", "। ")) + ", 1100)"
@@ -276,7 +278,7 @@ ORACLE = {
     "electrical_noise_chunks": """WITH c AS (SELECT DISTINCT id, regexp_matches(text, '(?i)electrical\\s+(noise|interference)') AND NOT regexp_matches(text, '(?i)abnormal\\s+noises?|audible|mechanical\\s+noise|sounds?|buzz\\w*|humming|rattl\\w*') AS e,
       NOT regexp_matches(text, '(?i)electrical|electromagnetic|\\bEMI\\b|welder|interference|বৈদ্যুতিক|হস্তক্ষেপ') AND regexp_matches(text, '(?i)(mak\\w*|produc\\w*|hear\\w*|loud|audible).{0,60}\\b(noise|sounds?)\\b|আওয়াজ|আওয়াজ|সাউন্ড') AS audible FROM chunks) SELECT id, audible FROM c WHERE e OR audible""",
     "question_models": f"WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL) SELECT id, unnest({_MODELS.format('question')}) AS model FROM q",
-    "model_scope_resolution": f"WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL), a AS (SELECT model, count(*) AS questions FROM (SELECT unnest({_MODELS.format('question')}) AS model FROM q) GROUP BY model), t AS (SELECT model, count(*) AS manuals FROM (SELECT unnest({_MODELS.format('title')}) AS model FROM manuals) GROUP BY model) SELECT model, questions, coalesce(manuals, 0) AS manuals FROM a LEFT JOIN t USING (model)",
+    "model_scope_resolution": f"WITH q AS (SELECT DISTINCT id, question FROM queries WHERE question IS NOT NULL), a AS (SELECT model, count(*) AS questions FROM (SELECT unnest({_MODELS.format('question')}) AS model FROM q) GROUP BY model), t AS (SELECT model, count(DISTINCT id) AS manuals FROM (SELECT id, unnest({_MODELS.format('title')}) AS model FROM manuals UNION SELECT id, unnest({_MODELS.format(_FILE)}) FROM manuals) GROUP BY model) SELECT model, questions, coalesce(manuals, 0) AS manuals FROM a LEFT JOIN t USING (model)",
     "translation_number_drift": f"WITH q AS (SELECT DISTINCT id, {_DIGITS.format('question')} AS a, {_DIGITS.format('search_question')} AS b FROM queries WHERE question IS NOT NULL AND search_question IS NOT NULL) SELECT DISTINCT id, list_sort(regexp_extract_all(a, '[0-9]+(?:\\.[0-9]+)?')) = list_sort(regexp_extract_all(b, '[0-9]+(?:\\.[0-9]+)?')) AS same_numbers, list_sort({_MODELS.format('a')}) = list_sort({_MODELS.format('b')}) AS same_models FROM q",
     "heading_keys": """WITH i AS (SELECT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id, text FROM documents UNION ALL SELECT 'chunks', id, text FROM chunks),
       s AS (SELECT item_table, item_id, unnest(string_split(text, chr(10))) AS t, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line FROM i UNION ALL SELECT 'unit_drafts', draft_id, concat_ws(' ', section_key, title), 0 FROM unit_drafts),

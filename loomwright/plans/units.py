@@ -162,11 +162,34 @@ def given_closure_budget_guard(spark, folder):
     return C.closure_sizes(given_evidence_closure(spark, folder), given_units(spark, folder).select(F.col("unit_id").alias("node"), "text"))
 
 
+def blocked_closures(spark, folder):
+    """Queries whose evidence has units with unresolved issues, and how many: these must not be answered from it."""
+    blocked = _units(spark, folder).where("blocked = 1").select(F.col("unit_id").alias("node"))
+    return evidence_closure(spark, folder).join(blocked, "node").groupBy("query_id").agg(F.count("*").alias("blocked"), F.min("node").alias("first"))
+
+
+def note_footnotes(spark, folder):
+    """The texts of the notes that a unit refers to, in the order of the notes' units: what its search text gains."""
+    u = materialise(_units(spark, folder), "units")
+    e = L.note_edges(u).select("src", "dst").distinct().join(u.select(F.col("unit_id").alias("dst"), "text"), "dst")
+    notes = F.array_sort(F.collect_list(F.struct("dst", "text")))
+    return e.groupBy("src").agg(F.array_join(F.transform(notes, lambda x: x["text"]), "\n").alias("footnotes"), F.count("*").alias("notes"))
+
+
+def blocking_issues(spark, folder):
+    """Units that can't stand alone as evidence: a note that is missing or not unique, a required function without a definition."""
+    u = materialise(_units(spark, folder), "units")
+    notes = L.unresolved_notes(u).select("unit_id", F.concat(F.lit("note "), "number").alias("issue"))
+    need = u.select("unit_id", F.explode(X.requirements(F.col("text"))).alias("r")).select("unit_id", "r.setting_id").where("setting_id like 'function:%'").distinct()
+    met = L.requirement_edges(u).select(F.col("src").alias("unit_id"), "setting_id").distinct()
+    return notes.unionByName(need.join(met, ["unit_id", "setting_id"], "left_anti").select("unit_id", F.concat(F.lit("setting "), "setting_id").alias("issue"))).distinct()
+
+
 GIVEN = {f"given_{q.__name__}": partial(q, units=given_units) for q in (note_refs, note_edges, unresolved_notes, setting_requirements, requirement_edges, warning_edges, page_reference_edges, unresolved_page_refs, applicability_edges, applicability_status, release_manifest, setting_conflicts, hypothesis_assessment, claim_violations)}
 GIVEN |= {"given_pitch_condition": partial(pitch_condition, units=given_units, number="page")}
 GIVEN |= {q.__name__: q for q in (given_conditional_closure, given_evidence_closure, given_closure_budget_guard)}
 
-QUERIES = {q.__name__: q for q in (manual_units, note_refs, note_edges, unresolved_notes, setting_requirements, requirement_edges, warning_edges, page_reference_edges, unresolved_page_refs, applicability_edges, applicability_status, pitch_condition, searchable_units, release_manifest, section_carry_forward, overlap_blocks, page_bounds, evidence_closure, conditional_closure, closure_budget_guard, setting_conflicts, hypothesis_assessment, claim_violations)} | GIVEN
+QUERIES = {q.__name__: q for q in (manual_units, note_refs, note_edges, unresolved_notes, setting_requirements, requirement_edges, warning_edges, page_reference_edges, unresolved_page_refs, applicability_edges, applicability_status, pitch_condition, searchable_units, release_manifest, section_carry_forward, overlap_blocks, page_bounds, evidence_closure, conditional_closure, closure_budget_guard, setting_conflicts, hypothesis_assessment, claim_violations, blocked_closures, note_footnotes, blocking_issues)} | GIVEN
 
 _U = f"u AS ({UNITS})"
 _DEF = """d AS (SELECT *, regexp_extract(text, '(?i)^\\s*\\(?NOTE\\s+(\\d+)\\)?(?:\\s|:)', 1) AS own FROM u),
@@ -219,6 +242,10 @@ ORACLE = {
     "evidence_closure": f"{_CLOSURE} SELECT DISTINCT query_id, node FROM c",
     "conditional_closure": f"{_CLOSURE} SELECT query_id, node, required_value FROM c",
     "closure_budget_guard": f"{_CLOSURE}, {_U}, k AS (SELECT DISTINCT query_id, node FROM c) SELECT query_id, count(*) AS nodes, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, coalesce(sum(length(text)), 0) > 400 AS too_large FROM k LEFT JOIN u ON unit_id = node GROUP BY query_id",
+    "blocked_closures": f"{_CLOSURE}, {_U}, k AS (SELECT DISTINCT query_id, node FROM c) SELECT query_id, count(*) AS blocked, min(node) AS first FROM k JOIN u ON unit_id = node AND blocked = 1 GROUP BY query_id",
+    "note_footnotes": f"WITH {_NOTE}, ds AS (SELECT DISTINCT src, dst FROM ne) SELECT src, string_agg(text, chr(10) ORDER BY dst) AS footnotes, count(*) AS notes FROM ds JOIN u ON unit_id = dst GROUP BY src",
+    "blocking_issues": f"""WITH n1 AS (WITH {_NOTE} SELECT DISTINCT unit_id, 'note ' || number AS issue FROM r WHERE (unit_id, number) NOT IN (SELECT (src, number) FROM ne)), n2 AS (WITH {_TIER} SELECT DISTINCT unit_id, 'setting ' || setting_id AS issue FROM q WHERE (unit_id, setting_id) NOT IN (SELECT (src, setting_id) FROM re))
+      SELECT * FROM n1 UNION SELECT * FROM n2""",
     "setting_conflicts": f"WITH {_U}, {_REQ} SELECT manual_id, setting_id, string_agg(DISTINCT value, ',' ORDER BY value) AS required, count(DISTINCT value) AS n, count(DISTINCT value) > 1 AS conflict FROM q GROUP BY ALL",
     "hypothesis_assessment": f"WITH {_U}, {_REQ} SELECT unit_id, CASE WHEN value <> CAST(CAST(setting_id[10:] AS INTEGER) % 3 AS VARCHAR) THEN 'ruled_out' ELSE 'possible' END AS assessment FROM q",
     "claim_violations": f"""WITH {_NOTE}, {_REQ}, dc AS (SELECT DISTINCT manual_id, concat('function:', regexp_extract(text, '^No.: (\\d+);', 1)) AS setting_id FROM u WHERE kind = 'table')

@@ -228,3 +228,16 @@ def test_key_terms_and_intents(spark):
     assert [x.i for x in asked.select(T.intents(F.col("q")).alias("i")).collect()] == [["The motor stops suddenly.", "The thread breaks at once!"], ["Why?"], None, None]
     more = spark.createDataFrame([("The needle hits the plate and the motor stops at once. Before that the thread was loose.",), ("The pedal is stuck now Additionally the oil drips down",), ("সুতা ছিঁড়ে যায় বারবার এবং মেশিন থেকে শব্দ হয়",)], "q string")
     assert [x.i for x in more.select(T.intents(F.col("q")).alias("i")).collect()] == [["The needle hits the plate", "the motor stops at once. Before that the thread was loose."], ["The pedal is stuck now", "Additionally the oil drips down"], ["সুতা ছিঁড়ে যায় বারবার", "মেশিন থেকে শব্দ হয়"]]
+
+
+def test_pruned_ranks_equal_all_scores(spark):
+    r = random.Random(9)
+    common, rare = ["common", "usual", "often"], [f"rare{i}" for i in range(40)]
+    docs = [(i, r.choice("ab"), " ".join([w for w in common if r.random() < 0.8] * r.randint(1, 4) + r.choices(rare, k=r.randint(0, 4)))) for i in range(150)] + [(900, "a", None), (901, None, "common rare1")]
+    asked = [(i, r.choice("ab"), " ".join(r.sample(common, r.randint(0, 3)) + r.sample(rare, r.randint(0, 3)))) for i in range(30)] + [(50, "a", None), (51, "b", "common")]
+    d, q = spark.createDataFrame(docs, "doc_id long, s string, text string"), spark.createDataFrame(asked, "query_id long, s string, question string")
+    for scope in (None, "s"):
+        every = R.bm25(d, q, scope=scope).withColumn("score", F.round("score", 6))
+        want = {tuple(x) for x in R.top(every, F.col("score"), 5).select("query_id", "doc_id", "rank", "score").collect()}
+        assert {tuple(x) for x in R.bm25_top(d, q, 5, scope=scope).select("query_id", "doc_id", "rank", "score").collect()} == want and want
+    assert R.bm25_top(d.limit(0), q).count() == R.bm25_top(d, q.limit(0)).count() == 0

@@ -241,3 +241,33 @@ def test_pruned_ranks_equal_all_scores(spark):
         want = {tuple(x) for x in R.top(every, F.col("score"), 5).select("query_id", "doc_id", "rank", "score").collect()}
         assert {tuple(x) for x in R.bm25_top(d, q, 5, scope=scope).select("query_id", "doc_id", "rank", "score").collect()} == want and want
     assert R.bm25_top(d.limit(0), q).count() == R.bm25_top(d, q.limit(0)).count() == 0
+
+
+def test_ranks_cost_rows_not_pairs(spark, monkeypatch):
+    """A term of all documents, which many ask: no table holds a row for each question and document. Documents and terms in parts."""
+    written = []
+    keep = R.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "materialise", counted)
+    monkeypatch.setattr(R, "DOCS", 7)
+    monkeypatch.setattr(R, "TERMS", 30)
+    docs = spark.createDataFrame([(i, "common " * (i % 3 + 1) + f"w{i % 5}") for i in range(120)], "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(i, f"common w{i % 40}") for i in range(60)], "query_id long, question string")
+    want = {tuple(x) for x in R.top(R.bm25(docs, asked).withColumn("score", F.round("score", 6)), F.col("score"), 4).select("query_id", "doc_id", "rank", "score").collect()}
+    written.clear()
+    assert {tuple(x) for x in R.bm25_top(docs, asked, 4).select("query_id", "doc_id", "rank", "score").collect()} == want
+    assert max(written) < 60 * 120 / 10
+
+
+def test_rows_of_one_query_and_of_one_document_count_together(spark):
+    docs = spark.createDataFrame([("a", "wheel needle"), ("a", "wheel"), ("b", "wheel"), ("c", "needle needle")], "doc_id string, text string").repartition(3)
+    once, twice = [("q", "wheel needle")], [("q", "wheel"), ("q", "wheel needle")]
+    got = [[tuple(x) for x in R.bm25_top(docs, spark.createDataFrame(rows, "query_id string, question string")).orderBy("rank").collect()] for rows in (once, twice)]
+    assert got[0] == got[1] and [x[1] for x in got[0]][0] == "a" and len(got[0]) == 3
+    every = {x.doc_id: x.score for x in R.bm25(docs, spark.createDataFrame(once, "query_id string, question string")).collect()}
+    assert all(abs(every[d] - s) < 1e-6 for _, d, s, _ in got[0])

@@ -114,7 +114,7 @@ class WordGrades:
         for words in sentences:
             known = [g for w in words if (g := grades.get(w)) is not None]
             values += known
-            weights += [1 / len(known)] * len(known)
+            weights += [1 / max(1, len(known))] * len(known)
         if not values:
             return None
         v, w = np.array(values), np.array(weights)

@@ -271,3 +271,66 @@ def test_rows_of_one_query_and_of_one_document_count_together(spark):
     assert got[0] == got[1] and [x[1] for x in got[0]][0] == "a" and len(got[0]) == 3
     every = {x.doc_id: x.score for x in R.bm25(docs, spark.createDataFrame(once, "query_id string, question string")).collect()}
     assert all(abs(every[d] - s) < 1e-6 for _, d, s, _ in got[0])
+
+
+def test_unique_target_against_brute_force(spark):
+    r = random.Random(4)
+    owners = [(r.randint(0, 25), r.choice("kl"), r.choice([1, 2, 3, None])) for _ in range(70)]
+    targets = [(r.choice("kkl"), f"t{i:02}", r.choice([1, 2, 3, None]), r.choice(["text", "vlm", "vlm"]), r.choice(["One  word", "One word", "two"])) for i in range(9)]
+    for seed in range(4):
+        some = random.Random(seed).sample(targets, 2 + seed)
+        want = set()
+        for o, page in {(o, p) for o, _, p in owners}:
+            keys = {k for a, k, p in owners if (a, p) == (o, page)}
+            met = [t for t in some if t[0] in keys]
+            met = [t for t in met if t[3] == "text"] or met
+            wordings = {(p, " ".join(w.split())): max(t for _, t, q, _, v in met if (q, v.split()) == (p, w.split())) for _, _, p, _, w in met}
+            here = [t for (p, _), t in wordings.items() if p is not None and p == page]
+            for one in (list(wordings.values()), here):
+                if len(one) == 1:
+                    want.add((o, one[0]))
+                    break
+        a, b = spark.createDataFrame(owners, "o int, k string, page int"), spark.createDataFrame(some, "k string, target string, t_page int, t_method string, t_text string")
+        assert {tuple(x) for x in L.unique_target(a, b, ["o"], ["k"]).collect()} == want
+
+
+def _shuffled(spark, run):
+    """The most rows that a stage of ``run`` writes for another one."""
+    sc = spark.sparkContext
+
+    def listed():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found, it = {}, sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None).iterator()
+        while it.hasNext():
+            s = it.next()
+            found[s.stageId()] = s.shuffleWriteRecords()
+        return found
+
+    before = listed()
+    run()
+    return max(n for i, n in listed().items() if i not in before)
+
+
+def _crowd(spark):
+    """A manual's section of 300 notes and settings of one number, to which 300 units refer."""
+    notes = [(f"n{i}", "m", "s", 9, "information", "text", f"(NOTE 2) wording {i}") for i in range(300)]
+    rows = [(f"t{i}", "m", "s", 9, "table", "text", f"No.: 4; Setting range: {i}") for i in range(300)]
+    users = [(f"u{i}", "m", "s", 1, "procedure", "text", 'See NOTE 2. Only enabled when Function No. 4 is set to "1".') for i in range(300)]
+    return spark.createDataFrame(notes + rows + users, "unit_id string, manual_id string, section_key string, page int, kind string, extraction_method string, text string").withColumn("blocked", F.lit(0))
+
+
+def test_notes_and_settings_of_a_crowd_build_no_pairs(spark, monkeypatch):
+    u = _crowd(spark)
+    found = []
+    most = _shuffled(spark, lambda: found.extend([L.note_edges(u).collect(), L.requirement_edges(u).collect()]))
+    assert found == [[], []] and most < 3_000
+
+
+def test_manifest_and_issues_of_a_crowd(spark, monkeypatch):
+    from loomwright.plans import units as U
+
+    monkeypatch.setattr(U, "_units", lambda *_: _crowd(spark))
+    rows = []
+    most = _shuffled(spark, lambda: rows.extend([U.release_manifest(spark, "", lambda *_: _crowd(spark)).collect(), U.blocking_issues(spark, "").collect()]))
+    assert [(x.units, x.tables, x.note_edges, x.prerequisite_edges) for x in rows[0]] == [(900, 300, 0, 0)]
+    assert sorted(tuple(x) for x in rows[1]) == sorted([(f"u{i}", s) for i in range(300) for s in ("note 2", "setting function:4")]) and most < 3_000

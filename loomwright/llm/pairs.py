@@ -400,8 +400,9 @@ class PairModel:
         views = self._views([p[0] for _, p in sound] + [text for text, _ in parts])
         self.labels, self.thresholds = [], np.zeros(len(DEFECTS))
         for k, d in enumerate(DEFECTS):
-            # a refusal or a copy lacks its full stop as often as not, which says nothing about a sound answer's end
-            mine = np.flatnonzero((y == -1) | (y == k)) if d == "truncated" else np.arange(len(y))
+            # a refusal or a copy lacks its full stop as often as not, which says nothing about a sound answer's end; most made refusals
+            # are in another language than their question too, which says nothing about a sound answer's language
+            mine = np.flatnonzero((y == -1) | (y == k)) if d in ("truncated", "wrong_language") else np.arange(len(y))
             new = lambda: Linear({"truncated": _END_GRAMS, "copy": (), "wrong_language": ()}.get(d, _WHOLE_GRAMS), len(OWN[d]))
             # each half is scored by a fit on the other one; refusals are parted by their wordings, so the cut is that of unseen ones
             score = np.zeros(len(y))

@@ -137,6 +137,20 @@ def test_refusals_of_unseen_wordings():
     assert sum(j is not None for j in model.judge(["How?"] * len(fresh), fresh, None)) <= 0.02 * len(fresh)
 
 
+def test_refusals_tell_nothing_of_languages():
+    r = random.Random(4)
+    langs = [r.choice(list(NOUNS)) for _ in range(600)]
+    parser = language.CrossParser(*language.fit([(lang, text(r, lang, 4)) for lang in langs]))
+    sound = [(text(r, lang, 1) + f" No {i}?", text(r, lang, 2)) for i, lang in enumerate(langs)]
+    asked = [text(r, lang, 1) + "?" for lang in langs[:50]]
+    other = [text(r, r.choice([x for x in NOUNS if x != lang]), 2) for lang in langs[:50]]
+    for seed in range(3):
+        model = pairs.PairModel(sound, [], parser, seed=seed)
+        margin = lambda answers: model._margins(answers, pairs.features(asked, [(a, False) for a in answers], parser))[:, pairs.DEFECTS.index("wrong_language")]  # noqa: B023, E731
+        # made refusals are in any language; the cut stays clear of the pairs on both sides of it
+        assert np.quantile(margin(other), 0.1) > 0.5 and margin([text(r, lang, 2) for lang in langs[:50]]).max() < -0.5
+
+
 def test_sample_of_a_text_that_is_repeated(spark):
     rows = [("en", f"text {i}") for i in range(300)] + [("en", "text 7")] * 3000 + [(None, "x")]
     got = sampling.first_by_hash(spark.createDataFrame(rows, "lang string, text string").withColumn("extra", F.lit(1)), 20, ["lang"], ["text"]).collect()

@@ -28,24 +28,52 @@ QUANTILES = np.linspace(0.1, 0.9, 9)
 ROUNDS = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPLIT = re.compile(r"(?<=[.!?।])(?<!\bNo\.)(?<!\bno\.)(?<!\bFig\.)(?<!\bRef\.)(?<!\bp\.)[\"'”’)\]]{0,3}\s+")
+#: The mark that ends a sentence, and what follows it up to the next one.
+_STOP = re.compile(r"[.!?।](?<!\bNo\.)(?<!\bno\.)(?<!\bFig\.)(?<!\bRef\.)(?<!\bp\.)[\"'”’)\]]{0,3}\s+")
 _ITEM = re.compile(r"^\s*(?:[-*•·]|\d{1,3}[.)]|[a-z]\))\s+")
 _CAPTION = re.compile(r"^\s*(?:Fig|Ref|Tab|Table|Figure|Abb)\b\.?\s*\S{0,20}\s*(?:$|[:.]?\s)", re.I)
-_MARKS = re.compile(r"[|;\t=<>{}①-⓿]|\s{3,}|:\s*\d")
-_SINGLE_BREAK = re.compile(r"(?<![.!?:\s])[ ]*\n(?=[a-z])")
+# one search each, as those with one way to begin are the fast ones
+_MARKS = [re.compile(p) for p in (r"[|;\t=<>{}①-⓿]", r"\s{3}", r":\s*\d")]
+#: ASCII letters in lower case, all else a space.
+_ASCII_WORDS = "".join(c.lower() if c.isalpha() else " " for c in map(chr, range(128)))
+
+
+def _lines(text: str) -> Iterator[str]:
+    """The lines of a text; a break before a small letter ends none, unless a stop, a colon or a blank line is before it."""
+    own = ""
+    for i, line in enumerate(text.replace("\r", "").split("\n")):
+        head = own.rstrip(" ")
+        if i and "a" <= line[:1] <= "z" and (head[-1:] not in ".!?:" and not head[-1:].isspace() if head else i == 1):
+            own = f"{head} {line}"
+        else:
+            if i:
+                yield own
+            own = line
+    yield own
+
+
+def _sentences(line: str) -> Iterator[str]:
+    at = 0
+    for m in _STOP.finditer(line):
+        yield line[at : m.start() + 1]
+        at = m.end()
+    yield line[at:]
+
+
+def _words(part: str) -> list[str]:
+    return part.translate(_ASCII_WORDS).split() if part.isascii() else _LETTERS.findall(part.lower())
 
 
 def prose(text: str) -> Iterator[list[str]]:
     """The words of each sentence of a text's prose, in lower case: no headings, captions, table lines, codes or lines of symbols. An item of a list is a
     sentence without a full stop too."""
-    for line in _SINGLE_BREAK.sub(" ", text.replace("\r", "")).split("\n"):
-        line = _ITEM.sub("", line).strip()
-        if not line or _CAPTION.match(line) and len(line) < 60:
+    for line in _lines(text):
+        line = (line[m.end() :] if (m := _ITEM.match(line)) else line).strip()
+        if not line or len(line) < 60 and _CAPTION.match(line):
             continue
-        parts = _SPLIT.split(line)
-        for part in parts:
-            words = _LETTERS.findall(part.lower())
-            if len(words) < 3 or _MARKS.search(part):
+        for part in _sentences(line):
+            words = _words(part)
+            if len(words) < 3 or any(p.search(part) for p in _MARKS):
                 continue
             if part.rstrip("\"'”’)] ").endswith((".", "!", "?", "।")) or len(words) >= 4 and sum(w[0].islower() for w in _LETTERS.findall(part)) * 2 >= len(words):
                 yield words
@@ -112,7 +140,7 @@ class WordGrades:
         """Quantiles of the known words' grades; every sentence has the same weight, however long it is."""
         values, weights = [], []
         for words in sentences:
-            known = [g for w in words if (g := grades.get(w)) is not None]
+            known = [*filter(None, map(grades.get, words))]  # no grade is 0
             values += known
             weights += [1 / max(1, len(known))] * len(known)
         if not values:
@@ -151,17 +179,25 @@ class WordGrades:
 
 
 def _in_english(texts: list[list[list[str]]], parser: CrossParser) -> list[bool]:
-    """Whether every sentence of each text is English by the cross-parser; a short one that it is unsure of speaks for no language."""
+    """Whether every sentence of each text is English by the cross-parser; a short one that it is unsure of speaks for no language.
+    The longest sentence of each text is parsed first, and only if that is English its others are too."""
     joined = [[" ".join(words) for words in sentences] for sentences in texts]
-    unique = {s: i for i, s in enumerate(dict.fromkeys(s for own in joined for s in own))}
-    if not unique or "en" not in parser.languages:
+    if "en" not in parser.languages:
         return [False] * len(texts)
-    cost = by_language(parser, parser.phrases(list(unique)))
-    english = cost[:, parser.languages.index("en")]
-    other = np.delete(cost, parser.languages.index("en"), axis=1).min(axis=1, initial=np.inf)
-    long = np.array([s.count(" ") >= 7 for s in unique])
-    foreign = english > other * np.where(long, 1.0, CLEAR / (1 - CLEAR))
-    return [bool(own) and not any(foreign[unique[s]] for s in own) for own in joined]
+    foreign: dict[str, bool] = {}
+
+    def parse(sentences: Iterator[str]) -> None:
+        if new := [s for s in dict.fromkeys(sentences) if s not in foreign]:
+            cost = by_language(parser, parser.phrases(new))
+            english = cost[:, parser.languages.index("en")]
+            other = np.delete(cost, parser.languages.index("en"), axis=1).min(axis=1, initial=np.inf)
+            long = np.array([s.count(" ") >= 7 for s in new])
+            foreign.update(zip(new, (english > other * np.where(long, 1.0, CLEAR / (1 - CLEAR))).tolist()))
+
+    longest = [max(own, key=len, default="") for own in joined]
+    parse(s for s in longest if s)
+    parse(s for own, first in zip(joined, longest) if own and not foreign[first] for s in own)
+    return [bool(own) and not foreign[first] and not any(foreign[s] for s in own) for own, first in zip(joined, longest)]
 
 
 def fit(samples: DataFrame) -> WordGrades:

@@ -259,3 +259,15 @@ def test_a_sentence_of_unknown_words_alone():
     known = ["turn", "the", "wheel", "until", "the", "belt"] * 12
     assert model.judge([known, ["zzyx", "qwrt", "plmk"]])[:2] == model.judge([known])[:2]
     assert model.judge([["zzyx", "qwrt", "plmk"] * 30]) is None
+
+
+def test_one_sentence_tells_a_foreign_text():
+    r = random.Random(6)
+    parser = language.CrossParser(*language.fit([(lang, text(r, lang, 4)) for lang in ("en", "de", "fr") for _ in range(60)]))
+    parsed, plain = [], parser.phrases
+    parser.phrases = lambda texts: parsed.extend(texts) or plain(texts)
+    words = lambda lang, n: [s.lower().rstrip(".").split() for s in (text(r, lang, 1) for _ in range(n))]
+    english, foreign = words("en", 12), words("de", 40)
+    assert reading._in_english([english, foreign, english[:2] + foreign[:1], []], parser) == [True, False, False, False]
+    assert len(set(parsed)) == len(parsed) and len(set(parsed) & {" ".join(s) for s in foreign}) <= 2
+    assert list(reading.prose("The belt\nruns on.\nStop No. 4 now! 1. It is a\n\nlid")) == [["the", "belt", "runs", "on"], ["stop", "no", "now"]]

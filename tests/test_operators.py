@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwright import tables
@@ -273,6 +274,23 @@ def test_rows_of_one_query_and_of_one_document_count_together(spark):
     assert all(abs(every[d] - s) < 1e-6 for _, d, s, _ in got[0])
 
 
+def test_terms_are_counted_by_batches(spark, monkeypatch):
+    """Counts of a batch's terms are made by array operations, so many terms at a time; no row is sorted by Spark, string by string."""
+    r = random.Random(3)
+    rows = [None if i % 9 == 4 else r.choices(["wheel", "কলম", "lever", "x"], k=i % 13) for i in range(60)] + [["wheel"] * 50]
+    docs = spark.createDataFrame([(i, t and " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(R.term_counts(docs, "doc_id", "text")._jdf.queryExecution(), "extended")
+    assert "array_sort" not in plan and "Sort" not in plan
+    want = {(i, w, n, len(t)) for i, t in enumerate(rows) for w, n in Counter(t or []).items()}
+    assert {tuple(x) for x in R.term_counts(docs, "doc_id", "text").select("doc_id", "term", "tf", "len").collect()} == want
+    monkeypatch.setattr(R, "MOST", 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(61)), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "t"])
+    parts = list(R._counted(iter([batch.slice(0, 30), batch.slice(30), batch.slice(0, 0)])))
+    got = [x for p in parts for x in p.to_pylist()]
+    assert len(parts) > 10 and [x["doc_id"] for x in got] == list(range(61)) and [x["len"] for x in got] == [None if t is None else len(t) for t in rows]
+    assert {(x["doc_id"], y["term"], y["tf"], x["len"]) for x in got for y in x["run"]} == want
+
+
 def test_unique_target_against_brute_force(spark):
     r = random.Random(4)
     owners = [(r.randint(0, 25), r.choice("kl"), r.choice([1, 2, 3, None])) for _ in range(70)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomwright.functions import text as X
 from loomwright.operators import ingest as I
+from loomwright.plans.views import given_units
 
 DRAFT = "draft_id string, manual_id string, page int, kind string, title string, text string, parent_key string, section_key string, table_headers array<string>, table_rows array<array<string>>"
 
@@ -75,3 +76,24 @@ def test_search_from_question_to_evidence(spark, tmp_path):
     got = {(r.query_id[-2:], r.node, r.via, r.applicability) for r in entry.queries()["evidence_search"](spark, str(tmp_path)).collect()}
     assert {x for x in got if x[0] == "14"} == {("14", "m:5:0#0", "match", "not_established"), ("14", "m:5:1#0", "match", "excluded"), ("14", "m:5:0#1", "needed", "not_established"), ("14", "m:1:0#0", "needed", "not_established")}
     assert {x[1] for x in got if x[0] == "04"} >= {"m:5:0#0", "m:6:0#0"} and {x[0] for x in got} == {"14", "04"}
+
+
+def test_given_units_shuffle_texts_once(spark, tmp_path):
+    chunks = [("c", "m", 1, 0, "One\n\nTwo", "text")] * 2 + [("n", "m", 1, 0, None, "text")]
+    spark.createDataFrame(chunks, "id string, manual_id string, page int, ordinal int, text string, extraction string").write.parquet(str(tmp_path / "chunks.parquet"))
+    # two drafts of one id: a row belongs to the section of its own
+    draft = lambda section, cell: ("d", "m", 2, "table", "t", "x", None, None, None, None, None, ["h"], [[cell]], None, section)
+    spark.createDataFrame([draft("1", "a"), draft("2", "b"), draft("1", "a")], "draft_id string, manual_id string, page int, kind string, title string, text string, condition_text string, cause string, checks array<string>, actions array<string>, warnings array<string>, table_headers array<string>, table_rows array<array<string>>, parent_key string, section_key string").write.parquet(str(tmp_path / "unit_drafts.parquet"))
+    u = given_units(spark, str(tmp_path))
+    assert sorted((x.unit_id, x.section_key, x.text) for x in u.collect()) == [("c#0", "", "One"), ("c#1", "", "Two"), ("d", "1", "x"), ("d", "2", "x"), ("d#0", "1", "h: a"), ("d#0", "2", "h: b")]
+    assert u._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def test_reduced_texts_are_judged_as_whole_ones(spark):
+    questions = ["It makes a loud noise", "Which function makes a loud noise?", "speed at pitch 5 mm", "electrical noise", "x", None]
+    texts = ["Electrical  noise may occur", "electrical noise and sounds", "See function settings", "FUNCTION No. 4", "function", "Pitch 4 or less", "more than pitch 4", "The belt", "", None,
+             "sub-class -45B", "(-4[]A/5[]B)", "Sub class -45", "-4□", "not required for class", "why?", "-4?B", "(-45B)", "a [x] b"]
+    df = spark.createDataFrame([(q, t) for q in questions for t in texts], "q string, t string")
+    r = df.select("t", I.kept_evidence(F.col("q"), F.col("t")).alias("a"), I.kept_evidence(F.col("q"), I.judged_text(F.col("t"))).alias("b"), I.judged_text(F.col("t")).alias("j"), F.coalesce(X.model_patterns(F.col("t")), F.array().cast("array<string>")).alias("p"), I.scoped_patterns(F.col("t")).alias("s")).collect()
+    assert all(x.a == x.b and x.p == x.s for x in r) and {x.a for x in r} == {True, False} and any(x.p for x in r)
+    assert {x.t for x in r if x.j == ""} >= {"The belt", "function", None}

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwright import tables
+from loomwright.functions.text import tokens
 from loomwright.operators import closure as C
 from loomwright.operators import layout as Y
 from loomwright.operators import linking as L
@@ -291,6 +292,31 @@ def test_terms_are_counted_by_batches(spark, monkeypatch):
     assert {(x["doc_id"], y["term"], y["tf"], x["len"]) for x in got for y in x["run"]} == want
 
 
+def test_words_are_parted_as_spark_parts_them(spark, monkeypatch):
+    """Words come from Arrow batches, not from Spark's arrays of strings; the terms are those of tokens()."""
+    pieces = ["Wheels", "glass", "buses", "is", "The", "as", "কলম", "x_1", "é", "İs", "²", " ", "--", "\n", "ss", "gas", "Straße", "ΣΑΣ", "s", "\u00ad", "٣"]
+    r = random.Random(8)
+    texts = [None, "", " ", "the", *["".join(r.choices(pieces, k=r.randint(0, 12))) + " ".join(r.choices(pieces, k=r.randint(0, 12))) for _ in range(200)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "extract_all" not in spark._jvm.PythonSQLUtils.explainString(R._runs(docs, "doc_id", "text")._jdf.queryExecution(), "extended")
+    want = {x.doc_id: x.t for x in docs.select("doc_id", tokens(F.col("text")).alias("t")).collect()}
+    got = {x.doc_id: (Counter({y.term: y.tf for y in x.run}), x.len) for x in R._runs(docs, "doc_id", "text").collect()}
+    assert got == {i: (Counter(t or []), None if t is None else len(t)) for i, t in want.items()}
+    monkeypatch.setattr(R, "MOST_BYTES", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t and t.lower() for t in texts])], ["doc_id", "t"])
+    parts = list(R._worded(iter([batch.slice(0, 50), batch.slice(50), batch.slice(0, 0)])))
+    assert len(parts) > 50 and [x["doc_id"] for p in parts for x in p.to_pylist()] == list(range(len(texts)))
+
+
+def test_search_keeps_as_many_rows_however_many_tasks_read(spark):
+    """What is shuffled is k rows of a set for each task that can run at once, not for each part of the documents."""
+    docs = spark.createDataFrame([(i, f"wheel w{i}") for i in range(400)], "doc_id long, text string").repartition(40)
+    asked = spark.createDataFrame([(1, "wheel"), (2, "w7 wheel")], "query_id long, question string")
+    found = R.bm25_top(docs, asked, 3)
+    assert {(x.query_id, x.doc_id, x.rank) for x in found.collect()} == {(1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 7, 1), (2, 0, 2), (2, 1, 3)}
+    assert "Coalesce" in spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "extended")
+
+
 def test_unique_target_against_brute_force(spark):
     r = random.Random(4)
     owners = [(r.randint(0, 25), r.choice("kl"), r.choice([1, 2, 3, None])) for _ in range(70)]
